@@ -44,14 +44,24 @@ def split_name(df: DataFrame, name: str) -> Column:
     return F.coalesce(folded, F.lit(fixed.UNLABELLED))
 
 
-def parsed_number(df: DataFrame, name: str) -> Column:
-    """The value as a double, or null where it does not read as a number."""
-    c = F.col(f"`{name}`")
-    kind = df.schema[name].dataType
+def parsed_number_sql(df: DataFrame, name: str) -> str:
+    """The value as a double, or null where it does not read as a number.
+
+    Spelled as SQL text: tables have hundreds of such columns, and one expression per
+    column keeps building the plan quick.
+    """
+    c, kind = "`" + name.replace("`", "``") + "`", df.schema[name].dataType
     if isinstance(kind, T.BooleanType):
-        return c.cast("int").cast("double")
-    number = F.trim(c).try_cast("double") if isinstance(kind, T.StringType) else c.cast("double")
-    return F.when(F.isnan(number), F.lit(None)).otherwise(number)
+        return f"CAST(CAST({c} AS INT) AS DOUBLE)"
+    if isinstance(kind, T.StringType):
+        return f"nullif(try_cast(trim({c}) AS DOUBLE), double('NaN'))"
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return f"nullif(CAST({c} AS DOUBLE), double('NaN'))"
+    return f"try_cast({c} AS DOUBLE)" if isinstance(kind, T.NumericType) else "CAST(NULL AS DOUBLE)"
+
+
+def parsed_number(df: DataFrame, name: str) -> Column:
+    return F.expr(parsed_number_sql(df, name))
 
 
 def wilson_bounds(successes: Column, total: Column, z: float = fixed.WILSON_Z) -> tuple[Column, Column]:

@@ -13,28 +13,30 @@ from holdfast.table import AuditTable
 _FLOATS = (T.DoubleType, T.FloatType)
 
 
-def _digest(parts: list[Column]) -> Column:
+def _digest(parts: list[str]) -> Column:
     """256-bit key of a list of texts: JSON keeps nulls and separators apart."""
-    return F.sha2(F.to_json(F.array(*parts)), 256)
+    return F.expr(f"sha2(to_json(array({', '.join(parts)})), 256)")
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def fingerprint(df: DataFrame, features, decimals: int = fixed.FINGERPRINT_DECIMALS) -> Column:
     """Key of a row's feature values: floats rounded half-even (and -0 as 0), the rest
     trimmed, missing equal to missing. Grouping by it moves 64 characters per row
     instead of the features."""
-    parts = []
-    for name in features:
-        c = F.col(f"`{name}`")
+    def part(name: str) -> str:
         if isinstance(df.schema[name].dataType, _FLOATS):
-            parts.append((F.bround(c.cast("double"), decimals) + F.lit(0.0)).cast("string"))
-        else:
-            parts.append(F.trim(c.cast("string")))
-    return _digest(parts)
+            return f"CAST(bround(CAST({_quoted(name)} AS DOUBLE), {decimals}) + 0D AS STRING)"
+        return f"trim(CAST({_quoted(name)} AS STRING))"
+
+    return _digest([part(c) for c in features])
 
 
 def exact_key(df: DataFrame, features) -> Column:
     """Key of the unrounded feature values: equal keys encode to equal vectors."""
-    return _digest([F.col(f"`{c}`").cast("string") for c in features])
+    return _digest([f"CAST({_quoted(c)} AS STRING)" for c in features])
 
 
 def fingerprint_groups(table: AuditTable, holdout: str | None) -> DataFrame:

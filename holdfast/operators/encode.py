@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast import fixed
-from holdfast.functions.columns import parsed_number
+from holdfast.functions.columns import parsed_number, parsed_number_sql
 from holdfast.operators.duplicates import exact_key
 from holdfast.operators.ngrams import (
     document_frequency, idf_weights, term_counter, tfidf_weigher, vocabulary,
@@ -43,7 +43,7 @@ def column_profile(df: DataFrame, features) -> DataFrame:
     spark = df.sparkSession
     probes = [F.count("*").alias("rows")]
     for i, c in enumerate(features):
-        probes.append(F.count(parsed_number(df, c)).alias(f"p{i}"))
+        probes.append(F.expr(f"count({parsed_number_sql(df, c)}) AS p{i}"))
         if not isinstance(df.schema[c].dataType, _NUMBERS):
             probes.append(F.approx_count_distinct(F.col(f"`{c}`"), 0.02).alias(f"d{i}"))
     seen = df.agg(*probes).first()
@@ -99,7 +99,7 @@ class Encoding:
 
     def standardised(self, df: DataFrame) -> dict[str, Column]:
         return {
-            name: (F.coalesce(parsed_number(df, name), F.lit(fill)) - F.lit(mean)) / F.lit(sd)
+            name: F.expr(f"(coalesce({parsed_number_sql(df, name)}, {fill!r}D) - {mean!r}D) / {sd!r}D")
             for name, fill, mean, sd in self.numeric
         }
 
@@ -147,31 +147,38 @@ class Encoding:
         return encoded.where("blocks > 0").withColumn("weights", weights).drop("counts", "blocks")
 
 
-def fit_numeric(df: DataFrame, columns: list[str]) -> list[tuple[str, float, float, float]]:
+def fit_numeric(df: DataFrame, columns: list[str],
+                holed: list[str] | None = None) -> list[tuple[str, float, float, float]]:
     """Per column: fill value (median, or 0 when all is missing), mean, population sd
-    (1 when constant). Medians are looked for only where something is missing."""
+    (1 when constant). Medians are looked for only in columns with gaps; ``holed``
+    names them when that is known."""
     if not columns:
         return []
-    parsed = df.select(*[parsed_number(df, c).alias(c) for c in columns])
-    gaps = parsed.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(str(i)) for i, c in enumerate(columns)]).first()
-    holed = [c for i, c in enumerate(columns) if gaps[i]]
-    medians = exact_quantiles(parsed, holed, 0.5) if holed else {}
-    fill = {c: (medians.get(c) or 0.0) for c in columns}
-    full = {c: F.coalesce(F.col(f"`{c}`"), F.lit(fill[c])) for c in columns}
-    stats = parsed.agg(*[
-        x for i, c in enumerate(columns) for x in (
-            F.avg(full[c]).alias(f"m{i}"), F.stddev_pop(full[c]).alias(f"s{i}"),
-            (F.min(full[c]) == F.max(full[c])).alias(f"c{i}"))
+    parsed = df.select(*[parsed_number(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+    if holed is None:
+        gaps = parsed.agg(*[F.expr(f"count_if(c{i} IS NULL)") for i in range(len(columns))]).first()
+        holed = [c for i, c in enumerate(columns) if gaps[i]]
+    where = {c: f"c{i}" for i, c in enumerate(columns)}
+    medians = exact_quantiles(parsed, [where[c] for c in holed], 0.5) if holed else {}
+    fill = {c: float(medians.get(where[c]) or 0.0) for c in columns}
+    filled = parsed.select(*[F.expr(f"coalesce({where[c]}, {fill[c]!r}D)").alias(where[c]) for c in columns])
+    stats = filled.agg(*[
+        F.expr(f"{f}({where[c]}) AS {f}_{where[c]}") for c in columns for f in ("avg", "stddev_pop", "min", "max")
     ]).first()
-    return [
-        (c, fill[c], stats[f"m{i}"] or 0.0, 1.0 if stats[f"c{i}"] or not stats[f"s{i}"] else stats[f"s{i}"])
-        for i, c in enumerate(columns)
-    ]
+
+    def learned(c: str) -> tuple[str, float, float, float]:
+        at = where[c]
+        flat = stats[f"min_{at}"] == stats[f"max_{at}"] or not stats[f"stddev_pop_{at}"]
+        return c, fill[c], stats[f"avg_{at}"] or 0.0, 1.0 if flat else stats[f"stddev_pop_{at}"]
+
+    return [learned(c) for c in columns]
 
 
 def fit(df: DataFrame, features) -> Encoding:
     """Learn the encoding from the rows to compare (all but the idf, see ``encode``)."""
-    kinds = {r["column"]: r["kind"] for r in column_profile(df, features).collect()}
+    profile = column_profile(df, features).collect()
+    kinds = {r["column"]: r["kind"] for r in profile}
+    holed = [r["column"] for r in profile if r["kind"] == NUMERIC and r["parsed_share"] < 1]
     named = {k: [c for c in features if kinds[c] == k] for k in (NUMERIC, CATEGORICAL, TEXT)}
     levels: dict[str, set[str]] = {c: set() for c in named[CATEGORICAL]}
     if levels:
@@ -183,7 +190,7 @@ def fit(df: DataFrame, features) -> Encoding:
         text = F.concat_ws(" ", *[_text(c) for c in named[TEXT]])
         terms = [r["term"] for r in vocabulary(df, text).collect()]
     return Encoding(
-        numeric=fit_numeric(df, named[NUMERIC]),
+        numeric=fit_numeric(df, named[NUMERIC], holed),
         categorical=[(c, sorted(v)) for c, v in levels.items()],
         text=named[TEXT], terms=terms, rows=df.count(),
     )

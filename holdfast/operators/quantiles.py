@@ -46,8 +46,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], q: float,
         cuts = df.agg(*[
             F.percentile_approx(
                 F.when(F.col(f"`{c}`").between(*state[c][2]), F.col(f"`{c}`")),
-                [F.lit(max(0.0, (state[c][0] - seen[f"below{i}"]) / seen[f"in{i}"] - 3 / accuracy)),
-                 F.lit(min(1.0, (state[c][0] + 2 - seen[f"below{i}"]) / seen[f"in{i}"] + 3 / accuracy))],
+                [max(0.0, (state[c][0] - seen[f"below{i}"]) / seen[f"in{i}"] - 3 / accuracy),
+                 min(1.0, (state[c][0] + 2 - seen[f"below{i}"]) / seen[f"in{i}"] + 3 / accuracy)],
                 accuracy,
             ).alias(str(i))
             for i, c in wide

@@ -165,7 +165,7 @@ WITH {DOC_UNIT} SELECT id, count(*) AS n_terms, round(sum(w), 6) AS weight_sum,
 def ngram_tfidf(spark, sf):
     t = doc_eval(spark, sf)
     e = encode.fit(t.df, t.features)
-    counted = e.apply(encode.spread(t.df), ["id"])
+    counted = encode.written(e.apply(encode.spread(t.df), ["id"]), "counts")
     e = encode.with_idf(e, document_frequency(counted, len(e.terms)))
     grams = counted.select("id", F.aggregate("counts", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("n_grams"))
     weights = e.weighted(counted).select(

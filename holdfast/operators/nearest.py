@@ -55,8 +55,13 @@ class BlockPlan:
         fits = max(1, self.pivot_bytes // (4 * max(width, 1)))
         return int(min(self.max_pivots, fits, math.isqrt(rows)))
 
-    def block_rows(self, row_bytes: float) -> int:
-        return int(max(1, min(self.max_block_rows, self.block_bytes // max(row_bytes, 1))))
+    least_block_rows: int = 256
+
+    def block_rows(self, row_bytes: float, rows: int, cores: int) -> int:
+        """Rows per block: as many as fit, fewer when that leaves cores without work."""
+        fits = max(1, min(self.max_block_rows, self.block_bytes // max(row_bytes, 1)))
+        share = max(self.least_block_rows, -(-rows // (2 * cores)))
+        return int(min(fits, share))
 
 
 # --------------------------------------------------------------- Arrow helpers
@@ -339,7 +344,9 @@ def nearest_neighbours(queries: DataFrame, base: DataFrame, floor: float | None
         return base.sparkSession.createDataFrame([], schema)
     sparse = size["most"] > 0
     width = size["dense"] + (SKETCH_WIDTH if sparse else 0)
-    block = plan.block_rows(8 * size["dense"] + 12 * size["terms"] + (4 * SKETCH_WIDTH if sparse else 0))
+    block = plan.block_rows(
+        8 * size["dense"] + 12 * size["terms"] + (4 * SKETCH_WIDTH if sparse else 0),
+        size["rows"], base.sparkSession.sparkContext.defaultParallelism)
     cells = _choose_pivots(base, plan, size["rows"], width, sparse)
     count = len(cells.pivots)
 

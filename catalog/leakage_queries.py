@@ -37,10 +37,14 @@ unit AS MATERIALIZED (SELECT id, term, tf, tf * idf / sqrt(sum(tf * idf * tf * i
 
 
 DOC_UNIT = tfidf_sql("doc", "text")
-DOC_SIMS = DOC_UNIT + """,
+# the same weights with numbered terms, which join in far less memory
+DOC_CELLS = DOC_UNIT + """,
+num AS MATERIALIZED (SELECT term, row_number() OVER (ORDER BY term) AS no FROM vocab),
+cells AS MATERIALIZED (SELECT id, split, id * 32768 + no AS cell, no, w FROM unit JOIN num USING (term) JOIN doc USING (id))"""
+DOC_SIMS = DOC_CELLS + """,
 sims AS MATERIALIZED (SELECT a.id AS h, b.id AS t, round(sum(a.w * b.w), 6) AS s
-  FROM (SELECT u.* FROM unit u JOIN doc USING (id) WHERE split = 'test') a
-  JOIN (SELECT u.* FROM unit u JOIN doc USING (id) WHERE split = 'train') b USING (term) GROUP BY a.id, b.id)"""
+  FROM (SELECT id, no, w FROM cells WHERE split = 'test') a
+  JOIN (SELECT id, no, w FROM cells WHERE split = 'train') b USING (no) GROUP BY a.id, b.id)"""
 EMB_UNIT = """dims AS (SELECT id, split, unnest(v) AS x, unnest(range(1, 65)) AS j FROM emb),
 stat AS (SELECT j, avg(x) AS m, stddev_pop(x) AS sd FROM dims GROUP BY j),
 z AS (SELECT id, split, list((x - m) / sd ORDER BY j) AS z FROM dims JOIN stat USING (j) GROUP BY id, split),
@@ -62,8 +66,10 @@ bg AS MATERIALIZED (SELECT round(quantile_cont(s, 0.995), 6) AS background FROM
 
 
 EMB_BG = background_sql("emb", "SELECT list_dot_product(a.u, b.u) AS s FROM rel JOIN unit a ON a.id = x JOIN unit b ON b.id = y")
-DOC_BG = background_sql("doc", """SELECT coalesce(s, 0.0) AS s FROM rel LEFT JOIN (
-    SELECT k, sum(a.w * b.w) AS s FROM rel JOIN unit a ON a.id = x JOIN unit b ON b.id = y AND b.term = a.term GROUP BY k) USING (k)""")
+DOC_BG = """lists AS MATERIALIZED (SELECT id, list(no) AS nos, list(w) AS ws FROM cells GROUP BY id),
+""" + background_sql("doc", """SELECT coalesce(s, 0.0) AS s FROM rel LEFT JOIN (
+    SELECT k, sum(p.w * c.w) AS s FROM (SELECT k, y * 32768 + unnest(nos) AS cell, unnest(ws) AS w
+      FROM rel JOIN lists ON id = x) p JOIN cells c ON c.cell = p.cell GROUP BY k) USING (k)""")
 
 
 # ------------------------------------------------------------------ duplicates
@@ -277,7 +283,7 @@ def background(spark, sf):
 
 
 @query("calibrated_threshold", using="doc", sql=f"""
-WITH {DOC_UNIT}, {DOC_BG}
+WITH {DOC_CELLS}, {DOC_BG}
 SELECT CAST(asked AS DOUBLE) AS asked, background, greatest(asked, background) AS threshold
 FROM bg, (VALUES (0.5), (0.8), (0.95)) a(asked)""")
 def calibrated(spark, sf):

@@ -32,10 +32,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The rows over at least as many partitions as there are cores, for costly row work.
+def spread(df: DataFrame, few_files: int = 32) -> DataFrame:
+    """The rows over all cores, for costly row work on an input of a few files.
 
-    Changes nothing on inputs that come in many parts already.
+    Such an input may be read by a handful of tasks. Larger inputs come in enough parts
+    and are left alone: a shuffle would only cost.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < min(cores, few_files) else df

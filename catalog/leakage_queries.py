@@ -217,7 +217,7 @@ def encode_blocks(spark, sf):
 
 def _twins(table, floor: float | None) -> tuple[DataFrame, encode.EncodedTable]:
     coded = encode.encode(table, "test", "id")
-    return leakage.nearest_train(coded.vectors, floor), coded
+    return leakage.nearest_train(coded, floor), coded
 
 
 def _per_row(table, twins) -> DataFrame:

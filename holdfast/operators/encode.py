@@ -143,7 +143,7 @@ class Encoding:
         since their cosine with every row is 0."""
         weights = F.array().cast("array<double>")
         if self.terms:
-            weights = tfidf_weigher(self.idf)("terms", "counts", (1 / F.sqrt(F.greatest("blocks", F.lit(1)))))
+            weights = tfidf_weigher(self.idf)("terms", "counts", _text_scale())
         return encoded.where("blocks > 0").withColumn("weights", weights).drop("counts", "blocks")
 
 
@@ -233,10 +233,26 @@ def distinct_rows(table: AuditTable, holdout: str, ref: str) -> DataFrame:
 KEEP = ["key", "train_rows", "held_rows", "held_right", "train_ref", "held_ref"]
 
 
+def _text_scale() -> Column:
+    """Norm of the text block within the row."""
+    return 1 / F.sqrt(F.greatest("blocks", F.lit(1)))
+
+
 @dataclass(frozen=True)
 class EncodedTable:
     encoding: Encoding
-    vectors: DataFrame  # KEEP + dense, terms, weights
+    raw: DataFrame      # KEEP + dense, terms, counts, blocks; a written table
+
+    @property
+    def vectors(self) -> DataFrame:
+        """KEEP + dense, terms, weights: unit vectors."""
+        return self.encoding.weighted(self.raw)
+
+    @property
+    def counted(self) -> DataFrame:
+        """KEEP + dense, terms, weights, scale, where weights are still term counts."""
+        return self.raw.where("blocks > 0").withColumn("scale", _text_scale()) \
+            .withColumnRenamed("counts", "weights").drop("blocks")
 
 
 def encode(table: AuditTable, holdout: str, ref: str, encoding: Encoding | None = None) -> EncodedTable:
@@ -246,4 +262,4 @@ def encode(table: AuditTable, holdout: str, ref: str, encoding: Encoding | None
     if encoding.terms:
         copies = F.col("train_rows") + F.col("held_rows")
         encoding = with_idf(encoding, document_frequency(raw, len(encoding.terms), copies))
-    return EncodedTable(encoding, encoding.weighted(raw))
+    return EncodedTable(encoding, raw)

@@ -13,7 +13,7 @@ from holdfast.operators.background import (
     background_pairs, background_similarity, calibrated_threshold,
 )
 from holdfast.operators.duplicates import exact_duplicates
-from holdfast.operators.encode import Encoding, compared_rows, encode, fit
+from holdfast.operators.encode import EncodedTable, Encoding, compared_rows, encode, fit
 from holdfast.operators.nearest import BlockPlan, nearest_neighbours
 from holdfast.operators.summary import holdout_choice, one_row
 from holdfast.sources.readers import with_row_position
@@ -35,16 +35,16 @@ def display_id(table: AuditTable, value):
     return value.cast("string") if table.id else F.concat(F.lit("row "), value.cast("string"))
 
 
-def nearest_train(vectors: DataFrame, floor: float | None, plan: BlockPlan | None = None) -> DataFrame:
+def nearest_train(coded: EncodedTable, floor: float | None, plan: BlockPlan | None = None) -> DataFrame:
     """Per distinct hold-out content its most similar train content (see nearest_neighbours),
     with the copies it stands for."""
-    held = vectors.where("held_rows > 0")
-    train = vectors.where("train_rows > 0")
+    # without text there is nothing to weigh, and the rows are unit vectors already
+    idf = coded.encoding.idf if coded.encoding.terms else None
+    rows = coded.counted
+    parts = ["key", "dense", "terms", "weights", "scale"]
+    held, train = rows.where("held_rows > 0"), rows.where("train_rows > 0")
     best = nearest_neighbours(
-        held.select("key", "dense", "terms", "weights"),
-        train.select("key", F.col("train_ref").alias("ref"), "dense", "terms", "weights"),
-        floor, plan,
-    )
+        held.select(*parts), train.select(*parts, F.col("train_ref").alias("ref")), floor, plan, idf)
     about = held.select(F.col("key").alias("query_key"), "held_rows", "held_right", "held_ref")
     return best.join(about, "query_key").select(
         "query_key", "held_ref", "held_rows", "held_right",
@@ -172,7 +172,7 @@ def leakage_verdict(table: AuditTable, holdout: str | None = None, *,
         background_pairs(table, holdout, ref, coded.encoding)).first()["background"]
     effective = calibrated_threshold(threshold, background)
     # Nothing below the threshold is asked for, so it is the floor of the search.
-    twins = written(nearest_train(coded.vectors, effective, plan), "twins")
+    twins = written(nearest_train(coded, effective, plan), "twins")
     measured = _measures(
         one_row(leak_measures(table, holdout, twins, effective), twins_exact),
         reason="searched", background=background, **known)

@@ -35,6 +35,7 @@ from holdfast.storage import written
 
 SKETCH_WIDTH = 2048
 SIM_DECIMALS = 6
+PARTS = ("dense", "terms", "weights", "scale")
 # Similarities closer than this may round to the same value; bounds allow for it.
 SLACK = 2e-6
 
@@ -76,15 +77,28 @@ def _ragged(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Vectors:
-    """Rows of one Arrow block: a dense part and a ragged sparse part."""
+    """Rows of one Arrow block: a dense part and a ragged sparse part.
 
-    def __init__(self, dense, terms, weights):
+    With an ``idf`` the ragged values are term counts; they become weights here, so that
+    rows travel with small integers.
+    """
+
+    def __init__(self, dense, terms, weights, scale=None, idf: np.ndarray | None = None):
         offsets, flat = _ragged(dense)
         self.n = len(offsets) - 1
         self.dense = flat.reshape(self.n, -1) if self.n and len(flat) else np.zeros((self.n, 0))
         self.offsets, self.terms = _ragged(terms)
         self.weights = _ragged(weights)[1]
         self.sparse = len(self.terms) > 0
+        if idf is not None:
+            row = np.repeat(np.arange(self.n), np.diff(self.offsets))
+            w = idf[self.terms] * self.weights
+            norm = np.sqrt(np.bincount(row, weights=w * w, minlength=self.n))
+            self.weights = w / norm[row] * np.asarray(scale)[row]
+
+    @staticmethod
+    def of(table: pa.Table, idf: np.ndarray | None) -> "_Vectors":
+        return _Vectors(*[table[c] for c in PARTS], idf)
 
     def rows(self, lo: int, hi: int) -> "_Vectors":
         part = object.__new__(_Vectors)
@@ -190,6 +204,7 @@ class _Cells:
 
     pivots: np.ndarray
     sparse: bool
+    idf: np.ndarray | None = None
     rows: np.ndarray | None = None
     radius: np.ndarray | None = None
 
@@ -222,26 +237,27 @@ def _home_of(cells: _Cells):
     kind = "struct<cell:int,closeness:double>"
 
     @F.arrow_udf(kind)
-    def home(dense: pa.Array, terms: pa.Array, weights: pa.Array) -> pa.Array:
-        cell, close = cells.home(_Vectors(dense, terms, weights))
+    def home(dense: pa.Array, terms: pa.Array, weights: pa.Array, scale: pa.Array) -> pa.Array:
+        cell, close = cells.home(_Vectors(dense, terms, weights, scale, cells.idf))
         return pa.StructArray.from_arrays(
             [pa.array(cell, pa.int32()), pa.array(close, pa.float64())], ["cell", "closeness"])
 
-    return home("dense", "terms", "weights")
+    return home(*PARTS)
 
 
 def _visits_of(cells: _Cells):
     @F.arrow_udf("array<int>")
-    def visits(dense: pa.Array, terms: pa.Array, weights: pa.Array, bound: pa.Array) -> pa.Array:
-        lists = cells.to_visit(_Vectors(dense, terms, weights), bound.to_numpy(zero_copy_only=False))
+    def visits(dense: pa.Array, terms: pa.Array, weights: pa.Array, scale: pa.Array, bound: pa.Array) -> pa.Array:
+        lists = cells.to_visit(_Vectors(dense, terms, weights, scale, cells.idf), bound.to_numpy(zero_copy_only=False))
         flat = np.concatenate(lists) if lists else np.empty(0, int)
         offsets = np.r_[0, np.cumsum([len(x) for x in lists])]
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
 
-    return visits("dense", "terms", "weights", "bound")
+    return visits(*PARTS, "bound")
 
 
-def _choose_pivots(base: DataFrame, plan: BlockPlan, rows: int, width: int, sparse: bool) -> _Cells:
+def _choose_pivots(base: DataFrame, plan: BlockPlan, rows: int, width: int, sparse: bool,
+                   idf: np.ndarray | None) -> _Cells:
     k = plan.pivots(rows, width)
     if k == 1:
         picked = base.limit(1)
@@ -251,9 +267,8 @@ def _choose_pivots(base: DataFrame, plan: BlockPlan, rows: int, width: int, spar
         mark = F.xxhash64("key")
         picked = base.where(F.pmod(mark, F.lit(1 << 20)) < math.ceil(share * (1 << 20))) \
             .orderBy(mark, "key").limit(k)
-    block = picked.select("dense", "terms", "weights").toArrow()  # at most max_pivots rows
-    v = _Vectors(block["dense"], block["terms"], block["weights"])
-    return _Cells(v.filter_matrix(sparse), sparse)
+    block = picked.select(*PARTS).toArrow()  # at most max_pivots rows
+    return _Cells(_Vectors.of(block, idf).filter_matrix(sparse), sparse, idf)
 
 
 def _per_cell(df: DataFrame, size: int) -> np.ndarray:
@@ -267,7 +282,7 @@ def _per_cell(df: DataFrame, size: int) -> np.ndarray:
 # --------------------------------------------------------------- the join
 
 def _block_join(queries: DataFrame, base: DataFrame, q_rows: np.ndarray, b_rows: np.ndarray,
-                block: int) -> DataFrame:
+                block: int, idf: np.ndarray | None) -> DataFrame:
     """Compare queries and base rows that share a cell, block pair by block pair."""
     spark = base.sparkSession
     q_cuts, b_cuts = -(-q_rows // block), -(-b_rows // block)
@@ -288,8 +303,8 @@ def _block_join(queries: DataFrame, base: DataFrame, q_rows: np.ndarray, b_rows:
     b = base.join(F.broadcast(cuts), "cell").withColumn("b_cut", cut("b")).withColumn("q_cut", every("q"))
     work = ["cell", "q_cut", "b_cut"]
     # both sides may come from one table: aliases keep their columns apart
-    q = q.select(*[F.col(c).alias(c) for c in (*work, "key", "bound", "dense", "terms", "weights")])
-    b = b.select(*[F.col(c).alias(c) for c in (*work, "key", "ref", "dense", "terms", "weights")])
+    q = q.select(*[F.col(c).alias(c) for c in (*work, "key", "bound", *PARTS)])
+    b = b.select(*[F.col(c).alias(c) for c in (*work, "key", "ref", *PARTS)])
     out = T.StructType([
         T.StructField("query_key", T.StringType()), T.StructField("base_key", T.StringType()),
         T.StructField("ref", ref), T.StructField("similarity", T.DoubleType()),
@@ -299,9 +314,7 @@ def _block_join(queries: DataFrame, base: DataFrame, q_rows: np.ndarray, b_rows:
         right = right.sort_by([("ref", "ascending"), ("key", "ascending")]) if right.num_rows else right
         if left.num_rows and right.num_rows:
             i, j, cosine = _best_pairs(
-                _Vectors(left["dense"], left["terms"], left["weights"]),
-                _Vectors(right["dense"], right["terms"], right["weights"]),
-                left["bound"].to_numpy())
+                _Vectors.of(left, idf), _Vectors.of(right, idf), left["bound"].to_numpy())
         else:
             i = j = cosine = np.empty(0, int)
         return pa.table({
@@ -323,15 +336,19 @@ def _best(pairs: DataFrame) -> DataFrame:
 
 
 def nearest_neighbours(queries: DataFrame, base: DataFrame, floor: float | None = None,
-                       plan: BlockPlan | None = None) -> DataFrame:
+                       plan: BlockPlan | None = None, idf: np.ndarray | None = None) -> DataFrame:
     """Per query row its most similar base row: query_key, base_key, ref, similarity.
 
     Both sides: ``key`` (unique text), ``dense`` array<double>, ``terms`` array<int> and
     ``weights`` array<double>; together a unit vector. ``base`` also has ``ref``, which
     breaks ties. Give tables that are cheap to read again, such as written ones. Queries
     with no base row at or above ``floor`` are absent; without a floor all are present.
+
+    With ``idf``, ``weights`` holds term counts and ``scale`` the norm of the sparse part.
     """
     plan = plan or BlockPlan()
+    if idf is None:
+        queries, base = (df.withColumn("scale", F.lit(1.0)) for df in (queries, base))
     size = base.agg(
         F.count("*").alias("rows"), F.max(F.size("dense")).alias("dense"),
         F.avg(F.size("terms")).alias("terms"), F.max(F.size("terms")).alias("most"),
@@ -347,7 +364,7 @@ def nearest_neighbours(queries: DataFrame, base: DataFrame, floor: float | None
     block = plan.block_rows(
         8 * size["dense"] + 12 * size["terms"] + (4 * SKETCH_WIDTH if sparse else 0),
         size["rows"], base.sparkSession.sparkContext.defaultParallelism)
-    cells = _choose_pivots(base, plan, size["rows"], width, sparse)
+    cells = _choose_pivots(base, plan, size["rows"], width, sparse, idf)
     count = len(cells.pivots)
 
     def at_home(df: DataFrame) -> DataFrame:
@@ -363,7 +380,7 @@ def nearest_neighbours(queries: DataFrame, base: DataFrame, floor: float | None
         cells.radius[r["cell"]] = math.acos(max(-1.0, min(1.0, r["c"])))
 
     homed = at_home(queries).withColumn("bound", F.lit(lowest))
-    home_pairs = _block_join(homed, placed, _per_cell(homed.select("cell"), count), cells.rows, block)
+    home_pairs = _block_join(homed, placed, _per_cell(homed.select("cell"), count), cells.rows, block, idf)
     if count == 1:
         return _best(home_pairs)
 
@@ -375,4 +392,4 @@ def nearest_neighbours(queries: DataFrame, base: DataFrame, floor: float | None
     away_rows = _per_cell(visiting.select("cell"), count)
     if not away_rows.any():
         return first
-    return _best(first.unionByName(_block_join(visiting, placed, away_rows, cells.rows, block)))
+    return _best(first.unionByName(_block_join(visiting, placed, away_rows, cells.rows, block, idf)))

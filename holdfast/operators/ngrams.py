@@ -24,23 +24,20 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), WHITE_SPACE), lambda w: w != "")
 
 
-def grams_of(word: Column) -> Column:
-    """All n-grams of the word with one blank on either side."""
-    padded = F.concat(F.lit(" "), word, F.lit(" "))
-    size = F.length(word) + 2
-
-    def of_size(n: int) -> Column:
-        every = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda at: padded.substr(at, F.lit(n)))
-        return F.when(size >= n, every).otherwise(F.array().cast("array<string>"))
-
-    return F.concat(*[of_size(n) for n in fixed.NGRAM_SIZES])
+def grams_of(words: DataFrame) -> DataFrame:
+    """(n, word) rows to (n, term): all n-grams of the word with one blank on either side."""
+    sizes = F.array(*[F.lit(k) for k in fixed.NGRAM_SIZES])
+    padded = words.select("n", F.concat(F.lit(" "), "word", F.lit(" ")).alias("word"), F.explode(sizes).alias("size"))
+    places = padded.where(F.length("word") >= F.col("size")) \
+        .select("n", "word", "size", F.explode(F.expr("sequence(1, length(word) - size + 1)")).alias("at"))
+    return places.select("n", F.substring("word", F.col("at"), F.col("size")).alias("term"))
 
 
 def gram_totals(rows: DataFrame, text: Column) -> DataFrame:
     """Corpus count of every n-gram. Hot words fold on the map side."""
-    words = spread(rows.select(text.alias("text"))).select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return words.select("n", F.explode(grams_of(F.col("word"))).alias("term")) \
-        .groupBy("term").agg(F.sum("n").alias("total"))
+    words = spread(rows.select(text.alias("text"))).select(F.explode(words_of(F.col("text"))).alias("word")) \
+        .groupBy("word").agg(F.count("*").alias("n"))
+    return grams_of(words).groupBy("term").agg(F.sum("n").alias("total"))
 
 
 def vocabulary(rows: DataFrame, text: Column, size: int = fixed.MAX_VOCABULARY) -> DataFrame:

@@ -98,7 +98,7 @@ def test_leakage_does_not_depend_on_layout(spark):
 
     def twins(rows, plan):
         t = audit_table(spark.createDataFrame(rows).repartition(5), id="id")
-        v = encode(t, "test", "id").vectors
+        v = encode(t, "test", "id")
         return sorted((r["held_ref"], r["train_ref"], r["similarity"]) for r in nearest_train(v, 0.3, plan).collect())
 
     assert twins(pdf, None) == twins(pdf.sample(frac=1, random_state=1), SMALL)
@@ -141,7 +141,7 @@ def test_encoding_matches_a_plain_computation(spark):
     full = np.hstack([_unit(num), _unit(hot), _unit(w)]) / np.sqrt(3)
     assert coded.encoding.width == full.shape[1]
     assert coded.encoding.description == "4 numeric, 1 categorical, 1 text"
-    best = {r["held_ref"]: (r["train_ref"], r["similarity"]) for r in nearest_train(coded.vectors, None).collect()}
+    best = {r["held_ref"]: (r["train_ref"], r["similarity"]) for r in nearest_train(coded, None).collect()}
     sims = full @ full.T
     train = np.arange(0, n, 2)
     for i in range(1, n, 2):

@@ -295,9 +295,3 @@ SELECT count(*) FILTER (WHERE status = 'pass') AS n_pass, count(*) FILTER (WHERE
 def overall(spark, sf):
     return overall_verdict(audit(order_eval(spark, sf)).results).select(
         "n_pass", "n_warn", "n_fail", "n_skip", "verdict")
-
-
-@query("audit_report")
-def audit_report(spark, sf):
-    """All four checks over the documents, in the shape every check reports in."""
-    return audit(doc_eval(spark, sf)).results.drop("metrics", "notes")

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from catalog.bindings import (
     DIMS, cust_eval, doc_eval, emb_eval, emb_leaky, line_eval, part_eval, read,
 )
-from catalog.check_queries import stacked
+from catalog.check_queries import _BASELINE, _ISSUES, stacked
 from catalog.registry import named, query, rounded
 from holdfast.operators import duplicates, encode, leakage
 from holdfast.operators.background import (
     background_pairs, background_similarity, calibrated_threshold,
 )
-from holdfast.operators.ngrams import document_frequency, idf_weights
+from holdfast.operators.ngrams import document_frequency
+from holdfast.plans.report import audit
 
 # ------------------------------------------------------------------ SQL parts
 
@@ -221,7 +222,8 @@ def _twins(table, floor: float | None) -> tuple[DataFrame, encode.EncodedTable]:
 
 
 def _per_row(table, twins) -> DataFrame:
-    return leakage.nearest_per_row(table, "test", "id", twins)
+    # written: the rows meet the result in three joins
+    return leakage.nearest_per_row(table, "test", "id", encode.written(twins, "twins"))
 
 
 _ROWS = "SELECT h AS holdout_id, t AS train_id, s AS similarity FROM nearest"
@@ -345,3 +347,25 @@ SELECT 'line' AS dataset, 'too_narrow' AS reason, (SELECT 4 + count(DISTINCT l_l
   CASE WHEN x > 0 THEN 'fail' ELSE 'skip' END AS status FROM m""")
 def leakage_verdict_narrow(spark, sf):
     return named(leakage.leakage_verdict(line_eval(spark, sf)).measures, "line").select(*_VERDICT)
+
+
+@query("audit_report", using="doc", sql=f"""
+WITH {DOC_SIMS}, {DOC_BG}, {NEAREST},
+g AS (SELECT count(*) FILTER (WHERE split = 'test') AS h, count(DISTINCT split) AS k FROM doc GROUP BY trim(text)),
+m AS (SELECT (SELECT count(*) FROM doc WHERE split = 'test') AS n, (SELECT coalesce(sum(h), 0) FROM g WHERE k > 1) AS x,
+  (SELECT count(*) FROM nearest, bg WHERE s >= greatest(0.95, background)) AS flagged),
+r AS (
+  SELECT 'leakage' AS key, CASE WHEN flagged = 0 AND x = 0 THEN 'pass' WHEN flagged / n >= 0.05 OR x > 0 THEN 'fail'
+    ELSE 'warn' END AS status FROM m
+  UNION ALL SELECT 'baseline', status FROM ({_BASELINE.format(name='doc')})
+  UNION ALL SELECT 'variance', 'skip'
+  UNION ALL SELECT 'integrity', coalesce(CASE max(CASE status WHEN 'fail' THEN 3 ELSE 2 END)
+    WHEN 3 THEN 'fail' WHEN 2 THEN 'warn' END, 'pass') FROM ({_ISSUES.format(name='doc')}))
+SELECT key, status, CASE status WHEN 'fail' THEN 3 WHEN 'warn' THEN 2 WHEN 'pass' THEN 1 ELSE 0 END AS severity FROM r""")
+def audit_report(spark, sf):
+    """All four checks over the documents."""
+    return document_audit(spark, sf).select("key", "status", "severity")
+
+
+def document_audit(spark, sf) -> DataFrame:
+    return audit(doc_eval(spark, sf)).results

@@ -12,7 +12,7 @@ from holdfast.functions.columns import status_of
 from holdfast.operators.background import (
     background_pairs, background_similarity, calibrated_threshold,
 )
-from holdfast.operators.duplicates import exact_duplicates
+from holdfast.operators.duplicates import exact_duplicates, exact_key
 from holdfast.operators.encode import EncodedTable, Encoding, compared_rows, encode, fit
 from holdfast.operators.nearest import BlockPlan, nearest_neighbours
 from holdfast.operators.summary import holdout_choice, one_row
@@ -51,14 +51,24 @@ def nearest_train(coded: EncodedTable, floor: float | None, plan: BlockPlan | No
         F.col("ref").alias("train_ref"), "similarity")
 
 
-def nearest_per_row(table: AuditTable, holdout: str, ref: str, twins: DataFrame) -> DataFrame:
-    """The result spread over every hold-out row: holdout_id, train_id, similarity."""
-    from holdfast.operators.duplicates import exact_key
+HOT_COPIES = 1_000_000
 
+
+def nearest_per_row(table: AuditTable, holdout: str, ref: str, twins: DataFrame,
+                    hot_copies: int = HOT_COPIES) -> DataFrame:
+    """The result spread over every hold-out row: holdout_id, train_id, similarity.
+
+    Contents with very many copies are few (at most one per ``hot_copies`` rows): they
+    are broadcast, so their rows stay where they are; the rest meet by key.
+    """
     hold = table.rows_of(holdout)
     rows = hold.select(F.col(f"`{ref}`").alias("holdout_id"), exact_key(hold, table.features).alias("query_key"))
-    return rows.join(twins.select("query_key", "train_ref", "similarity"), "query_key").select(
-        "holdout_id", F.col("train_ref").alias("train_id"), "similarity")
+    found = twins.select("query_key", "train_ref", "similarity", "held_rows")
+    hot = found.where(F.col("held_rows") > hot_copies)
+    usual = found.where(F.col("held_rows") <= hot_copies)
+    many = rows.join(F.broadcast(hot), "query_key")
+    single = rows.join(F.broadcast(hot.select("query_key")), "query_key", "left_anti").join(usual, "query_key")
+    return many.unionByName(single).select("holdout_id", F.col("train_ref").alias("train_id"), "similarity")
 
 
 def near_duplicate_pairs(table: AuditTable, holdout: str, ref: str, twins: DataFrame,
@@ -68,8 +78,6 @@ def near_duplicate_pairs(table: AuditTable, holdout: str, ref: str, twins: DataF
     The shown rows lie within the first ``limit`` flagged contents (by similarity, then
     smallest id), so only that many keys meet the rows.
     """
-    from holdfast.operators.duplicates import exact_key
-
     top = twins.where(F.col("similarity") >= threshold) \
         .orderBy(F.desc("similarity"), "held_ref", "train_ref").limit(limit) \
         .select("query_key", "train_ref", "similarity")

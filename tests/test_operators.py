@@ -227,6 +227,21 @@ def test_report_without_anything_to_judge(spark):
     assert v["n_skip"] == 3 and v["verdict"] == "pass"
 
 
+def test_rows_of_hot_contents_keep_their_twins(spark):
+    from holdfast.operators.leakage import nearest_per_row
+
+    text = ["the same words in most rows"] * 30 + [f"another row {i} of {i * i}" for i in range(30)]
+    pdf = pd.DataFrame({"id": range(60), "split": ["train", "test"] * 30, "label": "a", "text": text})
+    t = audit_table(spark.createDataFrame(pdf), id="id")
+    twins = nearest_train(encode(t, "test", "id"), None)
+
+    def rows(hot):
+        return sorted(map(tuple, nearest_per_row(t, "test", "id", twins, hot).collect()))
+
+    assert rows(3) == rows(1000) and len(rows(3)) == 30
+    assert rows(3)[0] == (1, 0, 1.0)
+
+
 def test_skewed_keys_give_the_same_counts(spark):
     """A third of the rows share one id, one group and one content."""
     n = 3000

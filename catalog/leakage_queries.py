@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.bindings import (
-    DIMS, cust_eval, doc_eval, emb_eval, emb_leaky, line_eval, part_eval, read,
+    DIMS, cust_eval, doc_eval, emb_eval, emb_leaky, line_eval, part_eval,
 )
 from catalog.check_queries import _BASELINE, _ISSUES, stacked
 from catalog.registry import named, query, rounded
@@ -16,6 +16,7 @@ from holdfast.operators.background import (
 )
 from holdfast.operators.ngrams import document_frequency
 from holdfast.plans.report import audit
+from holdfast.storage import spread, written
 
 # ------------------------------------------------------------------ SQL parts
 
@@ -172,7 +173,7 @@ WITH {DOC_UNIT} SELECT id, count(*) AS n_terms, round(sum(w), 6) AS weight_sum,
 def ngram_tfidf(spark, sf):
     t = doc_eval(spark, sf)
     e = encode.fit(t.df, t.features)
-    counted = encode.written(e.apply(encode.spread(t.df), ["id"]), "counts")
+    counted = written(e.apply(spread(t.df), ["id"]), "counts")
     e = encode.with_idf(e, document_frequency(counted, len(e.terms)))
     grams = counted.select("id", F.aggregate("counts", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("n_grams"))
     weights = e.weighted(counted).select(
@@ -223,7 +224,7 @@ def _twins(table, floor: float | None) -> tuple[DataFrame, encode.EncodedTable]:
 
 def _per_row(table, twins) -> DataFrame:
     # written: the rows meet the result in three joins
-    return leakage.nearest_per_row(table, "test", "id", encode.written(twins, "twins"))
+    return leakage.nearest_per_row(table, "test", "id", written(twins, "twins"))
 
 
 _ROWS = "SELECT h AS holdout_id, t AS train_id, s AS similarity FROM nearest"

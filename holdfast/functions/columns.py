@@ -103,12 +103,13 @@ def status_of(*rules: tuple[Column, str], otherwise: str = fixed.PASS) -> Column
 
 
 def percent(c: Column, decimals: int = 1) -> Column:
-    return F.format_string(f"%.{decimals}f%%", c * 100)
+    return F.when(c.isNotNull(), F.format_string(f"%.{decimals}f%%", c * 100))
 
 
 def points(c: Column, decimals: int = 1, signed: bool = True) -> Column:
     """Already in percentage points."""
-    return F.format_string(f"%{'+' if signed else ''}.{decimals}f pts", c.cast("double"))
+    text = F.format_string(f"%{'+' if signed else ''}.{decimals}f pts", c.cast("double"))
+    return F.when(c.isNotNull(), text)
 
 
 def counted(c: Column) -> Column:

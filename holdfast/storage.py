@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from holdfast.shipping import ship
+
 
 def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -27,16 +29,14 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from a table in the shared folder."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_folder(spark)}/holdfast-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, few_files: int = 32) -> DataFrame:
-    """The rows over all cores, for costly row work on an input of a few files.
-
-    Such an input may be read by a handful of tasks. Larger inputs come in enough parts
-    and are left alone: a shuffle would only cost.
-    """
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, for costly row work on a scan of fewer parts than there are cores."""
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < min(cores, few_files) else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

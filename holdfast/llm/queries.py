@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import packing, pieces, simhash
+from holdfast.llm import dedup, machine, packing, pieces, simhash
 from holdfast.llm.rows import read, text_of
 from holdfast.storage import spread
 
@@ -39,9 +39,23 @@ def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
 
 
+def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality score of every document, learnt from the labels outside the held-out fifth."""
+    docs = read(spark, sf, "documents").select("doc_id", "text", "n_chars")
+    found = machine.scored(docs, read(spark, sf, "labels"))
+    return found.select("row.doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with the row that stays of its equal texts."""
+    return dedup.exact_duplicates(read(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_simhash": op6_simhash,
+    "op9_quality": op9_quality,
+    "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES: dict[str, str] = {}

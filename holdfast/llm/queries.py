@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import dedup, machine, packing, pieces, simhash
+from holdfast.llm import dedup, disclosure, machine, packing, pieces, simhash, urlrules
 from holdfast.llm.rows import read, text_of
 from holdfast.storage import spread
 
@@ -22,6 +22,45 @@ def op1_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+def op2_disclosure(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data and disclosing terms of every document."""
+    found = disclosure.find(read(spark, sf, "documents"))
+
+    def many(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[many(k) for k in disclosure.PATTERNS],
+                        F.sha2(disclosure.listed(F.col("base")), 256).alias("base_sha256"),
+                        disclosure.listed(F.col("spans")).alias("spans"))
+
+
+#: Fixed values: (host, path, verdict).
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op4_url_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdict on every page's url."""
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return urlrules.judge(read(spark, sf, "pages"), rules)
+
+
+OP4_SQL = """
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+), rules(h, p, v) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, 'allow') AS verdict
+FROM parts LEFT JOIN LATERAL (
+  SELECT h || p AS rule, v FROM rules
+  WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY length(h || p) DESC LIMIT 1
+) best ON true
+"""
+
+
 def op5_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of every text and what they decode to, as digests."""
     docs = spread(read(spark, sf, "documents").select("doc_id", text_of("text").alias("text")))
@@ -53,9 +92,11 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_disclosure": op2_disclosure,
+    "op4_url_rules": op4_url_rules,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_simhash": op6_simhash,
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_url_rules": OP4_SQL}

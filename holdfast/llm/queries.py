@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import dedup, disclosure, machine, packing, pieces, simhash, urlrules
+from holdfast.llm import dedup, disclosure, extraction, forest, licences, machine, packing, pieces, simhash, urlrules
 from holdfast.llm.rows import read, text_of
 from holdfast.storage import spread
 
@@ -34,6 +34,11 @@ def op2_disclosure(spark: SparkSession, sf: str) -> DataFrame:
                         disclosure.listed(F.col("spans")).alias("spans"))
 
 
+def op3_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page."""
+    return extraction.extract(read(spark, sf, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 #: Fixed values: (host, path, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -78,6 +83,16 @@ def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
 
 
+def op7_licences(spark: SparkSession, sf: str) -> DataFrame:
+    """Licence notices in all documents."""
+    return licences.scan(read(spark, sf, "documents"))
+
+
+def op8_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth."""
+    return forest.nearest(read(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Quality score of every document, learnt from the labels outside the held-out fifth."""
     docs = read(spark, sf, "documents").select("doc_id", "text", "n_chars")
@@ -93,9 +108,12 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_disclosure": op2_disclosure,
+    "op3_main_text": op3_main_text,
     "op4_url_rules": op4_url_rules,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_simhash": op6_simhash,
+    "op7_licences": op7_licences,
+    "op8_neighbours": op8_neighbours,
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }

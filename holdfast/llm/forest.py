@@ -3,7 +3,7 @@
 A tree splits by the direction between two sample vectors, at the median of the sample. Trees are
 fitted on at most ``sample`` vectors, the first by a hash of their id; every vector is indexed. A query goes
 through all trees at once: one priority queue holds the branches not taken, the least certain split first, until the
-leaves taken hold about ``share`` of all rows (if what trees hold overlaps by chance). The vectors of
+leaves taken hold about ``share`` of all rows (if what trees hold overlaps by chance) and ``at_least`` rows. The vectors of
 these leaves are then ranked by exact distance, leaf by leaf; only the nearest of a leaf leave it. Leaves of more
 than ``block`` rows, as many equal vectors make them, are split over tasks.
 
@@ -85,7 +85,7 @@ def usable(vector: Column, dims: int) -> Column:
     return F.coalesce((F.size(vector) == dims) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 10, trees: int = 16, leaf: int = 256, share: float = 0.6,
+def nearest(vectors: DataFrame, queries: Column, k: int = 10, trees: int = 16, leaf: int = 256, share: float = 0.6, at_least: int = 2048,
             sample: int = 32_768, block: int = 4096, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Per query (rows of ``vectors`` where ``queries`` holds) its ``k`` nearest others: query_id, rank, vec_id, score."""
     ship(vectors.sparkSession)
@@ -118,8 +118,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, trees: int = 16, l
     sizes = [np.zeros(2 ** depth, np.int64) for _ in forest]
     for r in members.groupBy("tree", "leaf").count().collect():  # one row per leaf, as many as the trees have
         sizes[r["tree"]][r["leaf"]] = r["count"]
-    # Of a small table so much that a query finds its k.
-    reach = min(1 - 1e-9, max(share, 16 * (k + 1) / total))
+    reach = min(1 - 1e-9, max(share, at_least / total))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

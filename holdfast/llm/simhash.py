@@ -4,7 +4,7 @@ Every text gets a 64-bit fingerprint of its word shingles. Equal fingerprints ar
 Fingerprints that differ in at most ``radius`` bits agree on some ``agree`` of ``agree + radius`` bit
 bands, so those equal on a choice of bands form a bucket; no link is missed. Buckets are packed
 into blocks; a block stores its fingerprints vertically, one bit string per bit position, and
-counts the differing bits of all its pairs with two carry-save counter bits and an overflow
+counts the differing bits of all its pairs with carry-save counter bits and an overflow
 bit, stopping once every pair has overflowed. Only a spanning forest of the links of a block
 leaves it, so a group of n needs n - 1 rows. Crowded buckets are split into chunks that meet pairwise.
 
@@ -29,6 +29,7 @@ from holdfast.storage import spread, written
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BLOCK = 1024
+FAR = 255
 
 
 def shingles(text: bytes, words: int) -> list[bytes]:
@@ -44,8 +45,8 @@ def shingles(text: bytes, words: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts, stops[words - 1:])]
 
 
-def fingerprints(words: int, seed: int = 42) -> Callable:
-    """Column function: text -> 64-bit fingerprint as a signed long."""
+def fingerprints(words: int, seed: int = 42, distinct: bool = False) -> Callable:
+    """Column function: text -> 64-bit fingerprint as a signed long; of repeated shingles all count, or one."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from xxhash import xxh64_intdigest
@@ -54,6 +55,8 @@ def fingerprints(words: int, seed: int = 42) -> Callable:
             out = np.zeros(len(batch), np.uint64)
             for row, value in enumerate(batch):
                 found = shingles((value.as_py() or "").encode(), words)
+                if distinct:
+                    found = set(found)
                 if found:
                     hashes = np.fromiter((xxh64_intdigest(s, seed) for s in found), np.uint64, len(found))
                     set_bits = np.zeros(64, np.int64)
@@ -66,8 +69,8 @@ def fingerprints(words: int, seed: int = 42) -> Callable:
     return scalar(run, "long")
 
 
-def close_pairs(prints: np.ndarray, radius: int) -> np.ndarray:
-    """Boolean matrix: which of the fingerprints differ in at most ``radius`` (at most 3) bits."""
+def distances(prints: np.ndarray, radius: int) -> np.ndarray | None:
+    """Matrix of differing bits, FAR where they are more than ``radius`` (at most 7); None if all pairs are."""
     n = len(prints)
     bits = np.unpackbits(prints.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")  # n x 64
     width = -(-n // 64)
@@ -75,46 +78,69 @@ def close_pairs(prints: np.ndarray, radius: int) -> np.ndarray:
     planes[:, :-(-n // 8)] = np.packbits(bits.T, axis=1, bitorder="little")
     planes = planes.view(np.uint64)  # bit k of planes[p] is bit p of fingerprint k
     query = np.where(bits.T == 1, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
-    spare = np.packbits(np.arange(width * 64) >= n, bitorder="little").view(np.uint64)
-    ones, twos, over = (np.zeros((n, width), np.uint64) for _ in range(3))
+    # Places behind the last fingerprint, and each one's own, count as out.
+    spare = np.packbits((np.arange(width * 64) >= n) | np.eye(n, width * 64, dtype=bool), axis=1, bitorder="little").view(np.uint64)
+    counters = [np.zeros((n, width), np.uint64) for _ in range(2 if radius <= 3 else 3)]
+    over = spare.copy()
     for p in range(64):
-        differ = planes[p][None, :] ^ query[p][:, None]
-        carry = ones & differ
-        ones ^= differ
-        over |= twos & carry
-        twos ^= carry
-        if p in (23, 31, 39, 47, 55):
-            # Abandon the block once all its pairs are out; each fingerprint always agrees with itself
-            # and with the empty places behind the last one, which ``spare`` takes out of the count.
-            if int(np.bitwise_count(~(over | spare)).sum()) == n:
-                return np.eye(n, dtype=bool)
-    beyond = over | {3: over, 2: twos & ones, 1: twos, 0: twos | ones}[radius]
-    return np.unpackbits((~beyond).view(np.uint8), axis=1, bitorder="little")[:, :n].astype(bool)
-
-
-def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links: positions joined to the root of their part of the block."""
-    root = np.arange(len(near))
-    rows, cols = np.nonzero(np.triu(near, 1))
+        carry = planes[p][None, :] ^ query[p][:, None]
+        for counter in counters:
+            held = counter & carry
+            counter ^= carry
+            carry = held
+        over |= carry
+        if p in (15, 23, 31, 39, 47) and not (~over).any():
+            return None
+    if not (~over).any():
+        return None
+    out = np.zeros((n, n), np.uint8)
+    for k, counter in enumerate(counters):
+        out += np.unpackbits(counter.view(np.uint8), axis=1, bitorder="little")[:, :n] << k
+    out[np.unpackbits(over.view(np.uint8), axis=1, bitorder="little")[:, :n] == 1] = FAR
+    out[out > radius] = FAR
+    return out
+
+
+def forest(far: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shortest links that join the groups as far as links do: every group takes its closest link, until none is left."""
+    group = np.unique(group, return_inverse=True)[1]
+    left, right = [], []
     while True:
-        low = np.minimum(root[rows], root[cols])
-        after = root.copy()
-        np.minimum.at(after, rows, low)
-        np.minimum.at(after, cols, low)
-        after = np.minimum(after, after[after])
-        if (after == root).all():
+        apart = np.where(group[:, None] == group[None, :], FAR, far)
+        best = apart.argmin(axis=1)
+        cost = apart[np.arange(len(far)), best].astype(np.int64)
+        if (cost == FAR).all():
             break
-        root = after
-    moved = np.flatnonzero(root != np.arange(len(near)))
-    return moved, root[moved]
+        order = np.lexsort((np.arange(len(far)), cost, group))
+        own = order[np.r_[True, np.diff(group[order]) != 0]]  # the first of each group
+        own = own[cost[own] < FAR]
+        a, b = own, best[own]
+        # Two groups may choose each other, or choose in a ring of equal links: joined one by one.
+        root = np.arange(group.max() + 1)
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i, j in zip(a.tolist(), b.tolist()):
+            x, y = top(group[i]), top(group[j])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                left.append(i)
+                right.append(j)
+        group = np.array([top(x) for x in range(len(root))])[group]
+    return np.array(left, np.int64), np.array(right, np.int64)
 
 
 def links(prints: DataFrame, radius: int = 3, agree: int = 2, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints ``f`` within ``radius`` (at most 3) bits."""
-    if not 0 <= radius <= 3:
-        raise ValueError("the counters hold distances up to 3")
+    """Direct links (a, b) between fingerprints ``f`` within ``radius`` bits, as many as join all that are linked.
+
+    With a column ``g``, the group a fingerprint is known to belong to: all links between groups.
+    """
     bands = radius + agree
     edges = [64 * i // bands for i in range(bands + 1)]
+    grouped = "g" in prints.columns
 
     def band(i: int):
         mask = ((1 << (edges[i + 1] - edges[i])) - 1) << edges[i]
@@ -122,26 +148,35 @@ def links(prints: DataFrame, radius: int = 3, agree: int = 2, block: int = BLOCK
 
     keys = [F.struct(F.lit(k).alias("table"), _either([band(i) for i in chosen]).alias("bits"))
             for k, chosen in enumerate(combinations(range(bands), agree))]
-    rows = prints.select("f", F.explode(F.array(*keys)).alias("key"))
+    entry = F.struct("f", F.col("g" if grouped else "f").alias("g"))
+    rows = prints.select(entry.alias("e"), F.explode(F.array(*keys)).alias("key"))
     crowd = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     dealt = rows.join(crowd, "key").withColumn("chunks", F.ceil(F.col("n") / block).cast("int")) \
-        .withColumn("chunk", F.pmod(F.xxhash64("f"), F.col("chunks")).cast("int"))
+        .withColumn("chunk", F.pmod(F.xxhash64("e.f"), F.col("chunks")).cast("int"))
     other = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(
         F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: j != F.col("chunk")))
-    met = dealt.select("f", "key", "chunk", F.explode(other).alias("j")).groupBy(
-        "key", F.least("chunk", "j").alias("i"), F.greatest("chunk", "j").alias("j")).agg(F.collect_list("f").alias("fs"))
+    met = dealt.select("e", "key", "chunk", F.explode(other).alias("j")).groupBy(
+        "key", F.least("chunk", "j").alias("i"), F.greatest("chunk", "j").alias("j")).agg(F.collect_list("e").alias("es"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def done():
-            prints = np.unique(np.concatenate(held)).view(np.uint64)
-            moved, root = forest(close_pairs(prints, radius))
-            return pa.RecordBatch.from_arrays([pa.array(prints[moved].view(np.int64)), pa.array(prints[root].view(np.int64))], ["a", "b"])
+            both = np.unique(np.concatenate(held), axis=0)
+            prints, group = np.ascontiguousarray(both[:, 0]), both[:, 1]
+            far = distances(prints.view(np.uint64), radius)
+            if far is None:
+                left = right = np.zeros(0, np.int64)
+            elif grouped:
+                left, right = np.nonzero(np.triu((far < FAR) & (group[:, None] != group[None, :])))
+            else:
+                left, right = forest(far, group)
+            return pa.RecordBatch.from_arrays([pa.array(prints[left]), pa.array(prints[right])], ["a", "b"])
 
         for batch in batches:
             lists = batch.column(0)
-            values, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            values = np.stack([x.to_numpy() for x in lists.flatten().flatten()], axis=1)
+            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             for a, b in zip(offsets[:-1], offsets[1:]):
                 if held and size + b - a > block:
                     yield done()
@@ -151,7 +186,7 @@ def links(prints: DataFrame, radius: int = 3, agree: int = 2, block: int = BLOCK
         if held:
             yield done()
 
-    return met.select("fs").mapInArrow(compare, "a long, b long")
+    return met.select("es").mapInArrow(compare, "a long, b long").distinct()
 
 
 def _either(parts: list):
@@ -174,3 +209,80 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3,
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(names, "root").select("f", "component_id")
     return rows.join(named, "f").select("doc_id", F.col("f").alias("fingerprint"), "component_id")
+
+
+def alike(words: int, similarity: float) -> Callable:
+    """Column function: whether the word shingles of two texts have at least this Jaccard similarity."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for left, right in batches:
+            out, last, kept = [], None, frozenset()
+            for a, b in zip(left, right):
+                a, b = a.as_py() or "", b.as_py() or ""
+                if b != last:
+                    last, kept = b, frozenset(shingles(b.encode(), words))
+                own = frozenset(shingles(a.encode(), words))
+                both = len(own & kept)
+                out.append(both >= similarity * (len(own) + len(kept) - both))
+            yield pa.array(out, pa.bool_())
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "boolean")
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6, seeds: tuple[int, ...] = (42, 7),
+                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(node, root) of documents joined by texts of this similarity; root is the smallest id of a group.
+
+    Fingerprints of the distinct word pairs bring candidates up to ``radius`` bits apart; every link is then
+    checked on the texts' shingles of ``words`` words. Documents are first checked against the first of
+    their fingerprint and along the shortest links of a spanning forest. Where a check fails, all remaining links
+    between the confirmed groups of that neighbourhood are checked; documents of one group and one fingerprint
+    are represented by the first. An id is that of one document; null ids take no part.
+    """
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).where("doc_id is not null")
+    prints = written(spread(texts).select("doc_id", *[fingerprints(2, s, distinct=True)("text").alias(f"f{s}") for s in seeds]), "fingerprints")
+    of_seed = [prints.select("doc_id", F.col(f"f{s}").alias("f")) for s in seeds]
+    first = [p.groupBy("f").agg(F.min("doc_id").alias("rep")) for p in of_seed]
+
+    def ids(found: DataFrame, k: int) -> DataFrame:
+        return found.join(first[k].withColumnRenamed("rep", "x"), F.col("a") == F.col("f")).drop("f") \
+            .join(first[k].withColumnRenamed("rep", "y"), F.col("b") == F.col("f")).select("x", "y")
+
+    same = [p.join(f, "f").where("doc_id <> rep").select(F.col("doc_id").alias("x"), F.col("rep").alias("y")) for p, f in zip(of_seed, first)]
+    asked = _ordered([*same, *[ids(links(f.select("f"), radius), k) for k, f in enumerate(first)]])
+    one = written(asked, "asked")
+    good = written(_confirmed(one, texts, words, similarity), "confirmed")
+    roots = components(good.where("ok"), "x", "y")
+    # Only where a check failed can a link within the radius be left between confirmed groups.
+    reach = written(components(one, "x", "y").unionByName(one.select(F.col("y").alias("node"), F.col("y").alias("root"))).distinct(), "reach")
+    failed = good.where("not ok").select(F.col("x").alias("node")).join(reach, "node").select("root").distinct()
+    open_ = written(reach.join(failed, "root", "left_semi").groupBy("node").agg(F.min("root").alias("_")).select("node")
+                    .join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("g")), "open")
+    more = []
+    for p in of_seed:
+        groups = p.join(open_, F.col("doc_id") == F.col("node")).groupBy("f", "g").agg(F.min("doc_id").alias("rep"))
+        x = groups.select(F.col("f").alias("a"), F.col("rep").alias("x"), F.col("g").alias("gx"))
+        y = groups.select(F.col("f").alias("b"), F.col("rep").alias("y"), F.col("g").alias("gy"))
+        equal = groups.select(F.col("f").alias("a"), F.col("f").alias("b")).distinct()
+        near = links(groups.select("f", "g"), radius).unionByName(equal)
+        more.append(near.join(x, "a").join(y, "b").where("gx <> gy").select("x", "y"))
+    rest = written(_ordered(more).join(one, ["x", "y"], "left_anti"), "asked")
+    late = written(_confirmed(rest, texts, words, similarity), "confirmed")
+    return components(good.where("ok").unionByName(late.where("ok")), "x", "y")
+
+
+def _ordered(pairs: list[DataFrame]) -> DataFrame:
+    both = pairs[0]
+    for p in pairs[1:]:
+        both = both.unionByName(p)
+    return both.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct()
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (x, y) with ``ok``: whether their texts are alike."""
+    nodes = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+    needed = written(texts.join(nodes, "doc_id", "left_semi"), "needed-texts")
+    left = needed.select(F.col("doc_id").alias("x"), F.col("text").alias("tx"))
+    right = needed.select(F.col("doc_id").alias("y"), F.col("text").alias("ty"))
+    return pairs.join(left, "x").join(right, "y").select("x", "y", alike(words, similarity)("tx", "ty").alias("ok"))

@@ -41,8 +41,9 @@ def rows_of(names: list[str], rows) -> list[tuple]:
 
 def difference(spark, con, name: str, sf: str) -> str | None:
     """None when the query and its SQL give the same rows."""
-    from catalog.registry import ORACLES, QUERIES
+    from __spark_entry__ import oracle_sql, queries
 
+    QUERIES, ORACLES = queries(), oracle_sql()
     df = QUERIES[name](spark, sf)
     got = rows_of(df.columns, df.collect())
     if name not in ORACLES:
@@ -70,8 +71,9 @@ def session(cores: str = "8"):
 
 
 def main() -> None:
-    import __spark_entry__  # noqa: F401  registers the queries
-    from catalog.registry import ORACLES, QUERIES
+    from __spark_entry__ import oracle_sql, queries
+
+    QUERIES, ORACLES = queries(), oracle_sql()
 
     sf, wanted = f"{DATA}/{sys.argv[1]}", sys.argv[2:] or list(QUERIES)
     spark, con = session(), duck(f"{DATA}/{sys.argv[1]}")

@@ -4,8 +4,8 @@ A tree splits by the direction between two sample vectors, at the median of the
 fitted on at most ``sample`` vectors, the first by a hash of their id; every vector is indexed. A query goes
 through all trees at once: one priority queue holds the branches not taken, the least certain split first, until the
 leaves taken hold about ``share`` of all rows (if what trees hold overlaps by chance) and ``at_least`` rows. The vectors of
-these leaves are then ranked by exact distance, leaf by leaf; only the nearest of a leaf leave it. Leaves of more
-than ``block`` rows, as many equal vectors make them, are split over tasks.
+these leaves are then ranked by exact distance, branch by branch (the ``2 ** branch`` subtrees below a root's first
+levels); only the nearest of a branch leave it. Branches of more than ``block`` rows are split over tasks, whatever fills them.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components
 take no part. Ties go to the smaller id. Fewer candidates than asked for: all of them. An empty table
@@ -16,6 +16,7 @@ these the nearest counts. Other columns are not looked at.
 from __future__ import annotations
 
 import heapq
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,7 +87,7 @@ def usable(vector: Column, dims: int) -> Column:
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 10, trees: int = 16, leaf: int = 256, share: float = 0.6, at_least: int = 2048,
-            sample: int = 32_768, block: int = 4096, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+            sample: int = 32_768, block: int = 4096, branch: int = 3, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Per query (rows of ``vectors`` where ``queries`` holds) its ``k`` nearest others: query_id, rank, vec_id, score."""
     ship(vectors.sparkSession)
     schema = "query_id long, rank int, vec_id long, score double"
@@ -120,38 +121,46 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, trees: int = 16, l
         sizes[r["tree"]][r["leaf"]] = r["count"]
     reach = min(1 - 1e-9, max(share, at_least / total))
 
+    shift = max(0, depth - branch)
+    heads = [x.reshape(-1, 2 ** shift).sum(axis=1) for x in sizes]
+    cuts = [np.maximum(1, -(-h // block)) for h in heads]  # parts of each branch
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for query, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                taken = defaultdict(list)
                 for tree, at in probe(v.values.to_numpy(), forest, sizes, reach):
-                    out += [(query, v.values, tree, at, c) for c in range(-(-int(sizes[tree][at]) // block))]
-            cols = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array([x.to_numpy() for x in cols[1]], pa.list_(pa.float64())),
-                 *[pa.array(c, pa.int64()) for c in cols[2:]]], ["query_id", "q", "tree", "leaf", "chunk"])
+                    taken[tree, at >> shift].append(at)
+                out += [(query, v.values.to_numpy(), tree, head, c, sorted(own))
+                        for (tree, head), own in taken.items() for c in range(int(cuts[tree][head]))]
+            cols = list(zip(*out)) if out else [[]] * 6
+            kinds = (pa.int64(), pa.list_(pa.float64()), *[pa.int64()] * 3, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["query_id", "q", "tree", "head", "part", "leaves"])
 
     probes = indexed.where("asks").select("vec_id", "v").mapInArrow(
-        search, "query_id long, q array<double>, tree long, leaf long, chunk long")
-    chunks = members.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / block).alias("chunks"))
-    dealt = members.join(chunks, ["tree", "leaf"]).select(
-        F.col("tree").cast("long").alias("tree"), "leaf", F.pmod(F.xxhash64("vec_id"), "chunks").alias("chunk"), "vec_id", "v")
+        search, "query_id long, q array<double>, tree long, head long, part long, leaves array<long>")
+    flat = F.array(*[F.array(*[F.lit(int(n)) for n in c]) for c in cuts])
+    dealt = members.select(F.col("tree").cast("long").alias("tree"), F.shiftright("leaf", shift).alias("head"), "leaf", "vec_id", "v") \
+        .withColumn("part", F.pmod(F.xxhash64("vec_id"), F.element_at(F.element_at(flat, F.col("tree").cast("int") + 1), F.col("head").cast("int") + 1)))
 
     def rank(key, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         ids, at, score = [], [], []
         if len(own) and len(asked):
-            v, members_of = np.stack(own["v"]), own["vec_id"].to_numpy()
-            for query, q in zip(asked["query_id"].to_numpy(), asked["q"]):
-                d = np.sqrt(((v - q) ** 2).sum(axis=1))
-                d[members_of == query] = np.inf
-                best = np.lexsort((members_of, d))[:k]
-                best = best[np.isfinite(d[best])]
+            own = own.sort_values("leaf")
+            v, members_of, leaf_of = np.stack(own["v"]), own["vec_id"].to_numpy(), own["leaf"].to_numpy()
+            for query, q, leaves in zip(asked["query_id"].to_numpy(), asked["q"], asked["leaves"]):
+                ends = zip(np.searchsorted(leaf_of, leaves), np.searchsorted(leaf_of, leaves, side="right"))
+                rows = np.concatenate([np.arange(a, b) for a, b in ends])
+                rows = rows[members_of[rows] != query]
+                d = np.sqrt(((v[rows] - q) ** 2).sum(axis=1))
+                best = np.lexsort((members_of[rows], d))[:k]
                 ids += [query] * len(best)
-                at += members_of[best].tolist()
+                at += members_of[rows[best]].tolist()
                 score += d[best].tolist()
         return pd.DataFrame({"query_id": np.array(ids, np.int64), "vec_id": np.array(at, np.int64), "score": np.array(score, float)})
 
-    by = ["tree", "leaf", "chunk"]
+    by = ["tree", "head", "part"]
     found = dealt.groupBy(*by).cogroup(probes.groupBy(*by)).applyInPandas(rank, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = W.partitionBy("query_id").orderBy("score", "vec_id")

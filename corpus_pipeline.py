@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from holdfast.llm import dedup, disclosure, machine, packing, simhash
 from holdfast.llm.queries import WORDS
-from holdfast.llm.rows import read, text_of
+from holdfast.llm.rows import long_texts, read, text_of
 from holdfast.storage import shared_folder, written
 
 LEAST_SCORE = 0.3
@@ -39,6 +39,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one of smallest id (operator 6)."""
+    long_texts(spark)
     groups = simhash.near_copies(docs)
     gone = written(groups.where("node <> root").select(F.col("node").alias("_id")).distinct(), "near-copies")
     return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti").select(*docs.columns)

@@ -71,7 +71,7 @@ def features(text: bytes, chars: float | None, known: dict) -> tuple[list[int],
             at = known[word] = (crc32(word.lower()) % WORDS, WORDS + crc32(shape) % SHAPES)
         own[at[0]] += n
         shapes[at[1]] += n
-    if len(known) > 300_000:
+    if len(known) > 100_000:
         known.clear()
     at, values = [*own, *shapes], np.sqrt(np.array([*own.values(), *shapes.values()], float))
     for part in (slice(0, len(own)), slice(len(own), None)):
@@ -164,9 +164,9 @@ def scorer(model: Model) -> Callable:
         for texts, chars in batches:
             out = []
             stated = chars.to_pylist()
-            for begin in range(0, len(stated), 512):
+            for begin in range(0, len(stated), 256):
                 made = [features((t.as_py() or "").encode(), c, known)
-                        for t, c in zip(texts[begin:begin + 512], stated[begin:begin + 512])]
+                        for t, c in zip(texts[begin:begin + 256], stated[begin:begin + 256])]
                 starts = np.cumsum([0, *[len(m[0]) for m in made[:-1]]])
                 at = np.array([i for m in made for i in m[0]], np.int64)
                 values = np.array([v for m in made for v in m[1]])

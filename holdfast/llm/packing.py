@@ -17,50 +17,106 @@ taken whole. Pieces carry only the named columns, so other columns of the input
 
 from __future__ import annotations
 
+import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from holdfast.llm.rows import Recent, slices, text_of
+from holdfast.llm.rows import Recent, text_of
 from holdfast.storage import spread, written
 
 SIZE = 4096
 
 
+#: Words that are one pre-token and that the normaliser leaves alone; and where such a word ends before a sign, at
+#: which the tokenizer cuts as well (not before an apostrophe, which may start a contraction).
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
+CUT = r"([A-Za-zß-öø-ÿ])([!-&(-/:-@\[-`{-~])"
+
+
+class Encoder:
+    """Ids of texts for a BPE tokenizer that drops white space and case."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.words = Recent()
+        # The signs that stand for the bytes of a word inside the vocabulary.
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in visible]
+        self.signs = {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+    def learn(self, words: list[str]) -> None:
+        """Ids of distinct words, put into ``words.now``."""
+        odd, known, tokenize = [], self.words.now, self.library.model.tokenize
+        for word in words:
+            lower = word.lower()
+            if PLAIN.fullmatch(lower):
+                name = lower if lower.isascii() else lower.encode().decode("latin-1").translate(self.signs)
+                known[word] = array("I", [t.id for t in tokenize(name)]).tobytes()
+            else:
+                odd.append(word)
+        for at in range(0, len(odd), 2000):
+            some = odd[at:at + 2000]
+            for word, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
+                known[word] = array("I", e.ids).tobytes()
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's begin and the last one's end."""
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # else there may be special tokens, which stay whole
+            texts = pc.replace_substring_regex(texts, CUT, r"\1 \2")
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self.learn(self.words.missing(set(distinct)))
+        ids = list(map(self.words.now.__getitem__, distinct))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        which = coded.indices.to_numpy()
+        own = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        places = np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], own) + np.arange(ends[-1])
+        return flat[places], ends[words.offsets.to_numpy() - words.offsets[0].as_py()]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, ids (little-endian unsigned 32 bit).
 
-    Words are tokenised once while they are remembered; the tokenizer drops white space, so the
-    ids of a text are those of its words in a row.
+    Words are tokenised once while they are remembered, by a worker from task to task; the tokenizer
+    drops white space, so the ids of a text are those of its words in a row.
     """
     rows = spread(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        encoder, known = Tokenizer.from_file(tokenizer), Recent()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
+        encoder = _ENCODERS.get(tokenizer) or _ENCODERS.setdefault(tokenizer, Encoder(tokenizer))
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            doc_ids, at = batch.column(0).to_pylist(), 0
-            for texts in slices(batch.column(1)):
-                words = [t.encode().split() for t in texts]  # at ASCII white space only
-                todo = known.missing({w for ws in words for w in ws})
-                for start in range(0, len(todo), 20_000):
-                    some = todo[start:start + 20_000]
-                    for word, e in zip(some, encoder.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                        known[word] = np.array(e.ids, "<u4").tobytes()
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            bytes_before = np.cumsum(pc.binary_length(texts).to_numpy())
+            at = 0
+            while at < len(texts):  # some megabytes of text at a time
+                done = bytes_before[at - 1] if at else 0
+                stop = max(at + 1, int(np.searchsorted(bytes_before, done + 3_000_000, side="right")))
+                ids, ends = encoder.encode(texts.slice(at, stop - at))
                 out = []
-                for ws in words:
-                    ids = b"".join([known[w] for w in ws]) + end
-                    total = len(ids) // 4
-                    out += [(doc_ids[at], s, min(size, total - s), total, ids[4 * s:4 * (s + size)])
-                            for s in range(0, total, size)]
-                    at += 1
+                for k in range(at, stop):
+                    whole = ids[ends[k - at]:ends[k - at + 1]].tobytes() + end
+                    total = len(whole) // 4
+                    out += [(doc_ids[k], s, min(size, total - s), total, whole[4 * s:4 * (s + size)]) for s in range(0, total, size)]
+                at = stop
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(zip(*out), (batch.column(0).type, *[pa.int64()] * 3, pa.binary()))],
                     ["doc_id", "start", "length", "doc_tokens", "ids"])

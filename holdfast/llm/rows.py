@@ -16,9 +16,16 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     ship(spark)
+    long_texts(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def long_texts(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of so many rows at most: of long texts, ten thousand fill a Python worker."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def text_of(name: str) -> Column:
     """The column as text; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -49,24 +56,18 @@ def slices(batch: pa.Array, chars: int = 4_000_000) -> Iterator[list[str]]:
         yield held
 
 
-class Recent(dict):
-    """What was worked out for recent keys; at most two generations of ``limit`` entries."""
+class Recent:
+    """What was worked out for recent keys, in two generations of at most ``limit`` entries each."""
 
     def __init__(self, limit: int = 150_000):
-        super().__init__()
-        self.limit, self.old = limit, {}
+        self.limit, self.now, self.old = limit, {}, {}
 
     def missing(self, keys: set) -> list:
-        """Keys to work out; those known from the older generation are carried over."""
-        if len(self) + len(keys) > self.limit:
-            self.old = dict(self)
-            self.clear()
-        todo = []
-        for key in keys:
-            if key not in self:
-                value = self.old.get(key)
-                if value is None:
-                    todo.append(key)
-                else:
-                    self[key] = value
-        return todo
+        """Keys to work out; ``now`` then holds all others. Those of the older generation are carried over."""
+        if len(self.now) + len(keys) > self.limit:
+            self.now, self.old = {}, self.now
+        new = keys.difference(self.now)
+        known = new.intersection(self.old)
+        for key in known:
+            self.now[key] = self.old[key]
+        return list(new - known)

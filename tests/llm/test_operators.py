@@ -1,0 +1,187 @@
+"""Each operator against brute force on a small table of odd cases, and on an empty one."""
+
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import ROWS
+from holdfast.llm import dedup, disclosure, extraction, forest, licences, machine, packing, pieces, simhash, urlrules
+from holdfast.llm.queries import OP4_SQL, PIECES, RULES, WORDS
+
+BLANK = re.compile(r"[\x20\x09-\x0D]")
+
+
+def test_packing(docs, none):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORDS)
+    cut = packing.token_pieces(docs, WORDS, 2)
+    packed = packing.pack(cut).collect()
+    want = sorted(np.array(library.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes() for _, t, _ in ROWS)
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in packed:
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+    got = []
+    for own in by_doc.values():  # id 9 comes twice with one piece each
+        got += [bytes(r.ids) for r in own] if len(own) == 2 and own[0].start == own[1].start else \
+            [b"".join(bytes(r.ids) for r in sorted(own, key=lambda r: r.start))]
+    assert sorted(got) == want
+    for own in by_sequence.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 4096
+    assert packing.pack(packing.token_pieces(none, WORDS, 2)).count() == 0
+
+
+def test_plan_places_every_rank_once():
+    rng = np.random.default_rng(0)
+    histogram = {int(c): int(n) for c, n in zip(range(1, 65), rng.integers(0, 60, 64)) if n}
+    layout = packing.plan(histogram, 64)
+    fill = defaultdict(int)
+    for c, n in histogram.items():
+        rows = layout[c]
+        assert rows[0, 0] == 0 and rows[-1, 1] == n and (rows[1:, 0] == rows[:-1, 1]).all()
+        for first, after, each, sequence in rows:
+            for k in range(after - first):
+                fill[sequence + k // each] += c
+    assert max(fill.values()) <= 64 and sum(fill.values()) / 64 / len(fill) > 0.97
+
+
+def test_pieces(docs, none):
+    from sentencepiece import SentencePieceProcessor
+
+    library = SentencePieceProcessor(model_file=PIECES)
+    rows = docs.where(~F.col("text").contains("▁") | F.col("text").isNull()).select("text", pieces.encode(PIECES)(F.coalesce("text", F.lit(""))).alias("ids"))
+    for r in rows.withColumn("back", pieces.decode(PIECES)("ids")).collect():
+        assert r.ids == library.encode(r.text or "") and r.back == library.decode(r.ids)
+    assert none.select(pieces.encode(PIECES)("text")).count() == 0
+
+
+def test_simhash(docs, none):
+    got = simhash.near_duplicates(docs).collect()
+    assert len(got) == len(ROWS)
+    by_id = {r.doc_id: r for r in got}
+    assert by_id[2].fingerprint == by_id[3].fingerprint == by_id[4].fingerprint == 0 and by_id[4].component_id == 2
+    assert simhash.near_duplicates(none).count() == 0
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 6])
+def test_distances(radius):
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 1 << 63, 70, dtype=np.uint64)
+    near = base ^ (np.uint64(1) << rng.integers(0, 64, 70).astype(np.uint64))
+    prints = np.unique(np.concatenate([base, near]))
+    want = np.bitwise_count(prints[:, None] ^ prints[None, :])
+    far = simhash.distances(prints, radius)
+    own = ~np.eye(len(prints), dtype=bool)
+    if far is None:
+        assert not (want[own] <= radius).any()
+    else:
+        assert ((far != simhash.FAR) == ((want <= radius) & own)).all()
+
+
+def test_near_copies(spark):
+    words = [f"w{i}" for i in range(300)]
+    copy = [*words[:150], "other", *words[151:]]
+    rows = [(1, " ".join(words)), (2, " ".join(copy)), (3, " ".join(words[150:])), (4, None), (5, "")]
+    found = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.node, r.root) for r in found if r.node != r.root} >= {(2, 1)}
+    assert 3 not in {r.node for r in found}
+
+
+def test_exact_duplicates(docs, none):
+    groups = defaultdict(list)
+    for i, t, _ in ROWS:
+        groups[BLANK.sub("", t or "")].append((-len(t or ""), i))
+    got = defaultdict(list)
+    for r in dedup.exact_duplicates(docs, files_per_trigger=1).collect():
+        got[r.text_sha256].append(r)
+    for text, own in groups.items():
+        rows = got[hashlib.sha256(text.encode()).hexdigest()]
+        assert len(rows) == len(own) and {r.keep_id for r in rows} == {min(own)[1]} and sum(r.kept for r in rows) == 1
+    assert dedup.exact_duplicates(none).count() == 0
+
+
+def test_disclosure(docs, none):
+    got = {r.doc_id: r for r in disclosure.find(docs).collect()}
+    assert [s.value for s in got[6].base] == ["a@b.com", "b@c.org", "_d@e.net", "+1 (706) 555-3138"]
+    assert [s.kind for s in got[7].base] == ["card", "ip", "ip"] and not got[2].spans
+    clean = disclosure.find(docs).join(docs, "doc_id").where("doc_id = 6").select(
+        disclosure.sanitised(F.col("text"), F.col("spans")).alias("t")).first().t
+    assert clean == "write to [EMAIL] or [EMAIL][EMAIL], [PHONE] now"
+    assert disclosure.find(none).count() == 0
+
+
+def test_disclosing_terms(spark):
+    rows = [(i, f"the boss Zebulon has mail z@corp.com and number {i}") for i in range(5)] + [(9 + i, "the boss is away") for i in range(50)]
+    spans = {r.doc_id: [s.value for s in r.spans if s.kind == "term"] for r in disclosure.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "zebulon" in spans[0] and "boss" not in spans[0] and not spans[9]
+
+
+PAGE = ("<html><head><title>T &amp; t</title></head><body><nav><ul><li>Home</ul></nav><div class='x'>Shared line</div><p>Text {0} &lt;of&gt;"
+        " the<br>page</p><p>More {0}x</p><form>Sign <b>up</b></form><!-- {0} --><footer>End</footer></body></html>")
+
+
+def test_extraction(spark):
+    rows = [(i, "http://a.b/x", PAGE.format(f"no{i}")) for i in range(10)] + [(20, None, None), (21, "", ""), (22, "http://z.z/", "<p>a<p>b <!-- open")]
+    got = {r.page_id: r.text for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3].endswith("Text no3 <of> the page\n\nMore no3x") and "Home" not in got[3] and "Sign" not in got[3] and "End" not in got[3]
+    assert got[20] == got[21] == "" and got[22] == "a\n\nb"
+
+
+def test_url_rules(spark):
+    rows = [(1, "http://X.Example.net/en/a?q"), (2, "http://example.net/fr"), (3, "http://net"), (4, None), (5, "nothing"), (6, "ftp://a.org/fr/#x"),
+            (7, "http://planet/"), (8, "http://www.example.com/de/x"), (9, "http://example.netx/en/")]
+    urls = spark.createDataFrame(rows, "page_id long, url string")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urlrules.judge(urls, rules).collect()}
+    assert got == {1: ("example.net/en/", "allow"), 2: ("net/", "block"), 3: (None, "allow"), 4: (None, "allow"), 5: (None, "allow"),
+                   6: ("org/fr/", "allow"), 7: (None, "allow"), 8: ("example.com/de/", "block"), 9: (None, "allow")}
+    assert {r.verdict for r in urlrules.judge(urls, rules.where("false")).collect()} == {"allow"} and "pages" in OP4_SQL
+
+
+def test_licences(docs, none):
+    found = licences.scan(docs).collect()
+    assert [(r.doc_id, r.licence, r.start, r.end) for r in found] == [(11, "MIT", 0, 30)]
+    assert licences.scan(none).count() == 0
+
+
+def test_forest(spark):
+    rng = np.random.default_rng(1)
+    points = rng.normal(size=(3000, 8))
+    rows = [(i, p.tolist()) for i, p in enumerate(points)] + [(5000, None), (5001, [0.0] * 8), (5002, [float("nan")] * 8), (5003, [1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in forest.nearest(table, F.col("vec_id") % 100 == 0, at_least=0).orderBy("rank").collect():
+        got[r.query_id].append(r.vec_id)
+    hits = 0
+    for q, found in got.items():
+        d = np.linalg.norm(points - points[q], axis=1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & set(found))
+    assert len(got) == 30 and hits >= 0.9 * 300
+    assert forest.nearest(table.where("false"), F.lit(True)).count() == 0
+
+
+def test_quality(spark, docs, none):
+    rows = [(i, f"plain words of text number {i} and so on" if i % 2 else f"SPAM!! {i} SPAM!! SPAM!!", None, 30) for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = machine.scored(table, labels).select("row.doc_id", "held_out", "score").collect()
+    assert all((r.score >= 0.5) == bool(r.doc_id % 2) for r in got)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    odd = machine.scored(docs, labels.where("false")).collect()
+    assert len(odd) == len(ROWS) and {round(r.score, 6) for r in odd} == {0.5} and machine.scored(none, labels).count() == 0
+
+
+def test_vocabulary_paths():
+    assert public_tokenizers.path("word_bpe_49k.json") == WORDS

@@ -116,7 +116,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 12, batch:
         for begin in range(0, len(order), batch):
             own = [rows[i] for i in order[begin:begin + batch]]
             sizes = np.array([len(r[0]) for r in own])
-            at, values = np.concatenate([r[0] for r in own]), np.concatenate([r[1] for r in own])
+            at, values = np.concatenate([r[0] for r in own]).astype(np.int64), np.concatenate([r[1] for r in own]).astype(float)
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             raw, sums = model.raw(at, values, starts)
             error = (logistic(raw) - np.array([r[2] for r in own])) / len(own)
@@ -140,7 +140,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         made = [features((t or "").encode(), c, known) for t, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.float64())),
+            [pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.float32())),
              batch.column(2), batch.column(3)], ["at", "values", "label", "place"])
 
 
@@ -150,11 +150,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 8192, id_col: str = "d
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna() \
         .groupBy("id").agg(F.max("label").alias("label")) \
         .withColumn("place", F.xxhash64("id")).orderBy("place", "id").limit(rows)  # the bound makes the broadcast safe
-    known = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.col(chars_col).cast("double").alias("chars")) \
+    taught = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.col(chars_col).cast("double").alias("chars")) \
         .join(F.broadcast(marked), "id").select("text", "chars", "label", "place")
-    made = known.mapInArrow(_vectors, "at array<int>, values array<double>, label int, place long").toPandas()
-    made = made.assign(_s=[float(np.sum(v)) for v in made["values"]]).sort_values(["place", "_s"])
-    return fit([(np.asarray(a, np.int64), np.asarray(v, float), int(y)) for a, v, y in zip(made["at"], made["values"], made["label"])])
+    made = taught.mapInArrow(_vectors, "at array<int>, values array<float>, label int, place long").toArrow().combine_chunks()
+    # The order must not depend on how the rows were dealt out.
+    order = sorted(range(made.num_rows), key=lambda i: (made["place"][i].as_py(), len(made["at"][i])))
+    at, values, label = (made[c].combine_chunks() for c in ("at", "values", "label"))
+    rows = [(at[i].values.to_numpy(), values[i].values.to_numpy(), label[i].as_py()) for i in order]  # no copies
+    return fit(rows)
 
 
 def scorer(model: Model) -> Callable:

@@ -59,7 +59,7 @@ def slices(batch: pa.Array, chars: int = 4_000_000) -> Iterator[list[str]]:
 class Recent:
     """What was worked out for recent keys, in two generations of at most ``limit`` entries each."""
 
-    def __init__(self, limit: int = 150_000):
+    def __init__(self, limit: int = 50_000):
         self.limit, self.now, self.old = limit, {}, {}
 
     def missing(self, keys: set) -> list:

@@ -20,10 +20,11 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def long_texts(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of so many rows at most: of long texts, ten thousand fill a Python worker."""
+def long_texts(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Arrow batches of so many rows and bytes at most: of long texts, ten thousand rows fill a Python worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def text_of(name: str) -> Column:

@@ -185,3 +185,15 @@ def test_quality(spark, docs, none):
 
 def test_vocabulary_paths():
     assert public_tokenizers.path("word_bpe_49k.json") == WORDS
+
+
+def test_pieces_agendas():
+    """Chunks short and long, with characters outside the vocabulary, against the library."""
+    vocabulary, rng = pieces.Vocabulary(PIECES), np.random.default_rng(5)
+    letters = list("etaoinshr.,é日\U0001F600")
+    texts = ["".join(rng.choice(letters + [" ", "\n", "▁"], n)) for n in rng.integers(0, 200, 300)]
+    texts += ["".join(rng.choice(letters, n)) for n in rng.integers(60, 300, 60)] + ["", " ", "▁", "a ", "  a", "x" * 65]
+    for text in texts:
+        cut = pieces.chunks_of(text) if text else []
+        found = np.frombuffer(b"".join(vocabulary.merge(cut)), np.int32).tolist()
+        assert found == vocabulary.library.encode(text), text

@@ -10,6 +10,7 @@ from catalog.bindings import (
 )
 from catalog.check_queries import _BASELINE, _ISSUES, stacked
 from catalog.registry import named, query, rounded
+from holdfast.fixed import WHITE_SPACE as SPACE
 from holdfast.operators import duplicates, encode, leakage
 from holdfast.operators.background import (
     background_pairs, background_similarity, calibrated_threshold,
@@ -76,12 +77,12 @@ DOC_BG = """lists AS MATERIALIZED (SELECT id, list(no) AS nos, list(w) AS ws FRO
 
 # ------------------------------------------------------------------ duplicates
 
-@query("exact_duplicates", using="doc line cust", sql="""
+@query("exact_duplicates", using="doc line cust", sql=f"""
 WITH f AS (
-  SELECT 'doc' AS dataset, split, trim(text) AS a, '' AS b, '' AS c, '' AS d, '' AS e FROM doc
+  SELECT 'doc' AS dataset, split, trim(text, '{SPACE}') AS a, '' AS b, '' AS c, '' AS d, '' AS e FROM doc
   UNION ALL SELECT 'line', split, CAST(round_even(l_quantity, 6) AS VARCHAR), CAST(round_even(l_extendedprice, 6) AS VARCHAR),
-    CAST(round_even(l_discount, 6) AS VARCHAR), CAST(round_even(l_tax, 6) AS VARCHAR), trim(l_linestatus) FROM line
-  UNION ALL SELECT 'cust', split, CAST(round_even(c_acctbal, 6) AS VARCHAR), trim(c_name), '', '', '' FROM cust),
+    CAST(round_even(l_discount, 6) AS VARCHAR), CAST(round_even(l_tax, 6) AS VARCHAR), trim(l_linestatus, '{SPACE}') FROM line
+  UNION ALL SELECT 'cust', split, CAST(round_even(c_acctbal, 6) AS VARCHAR), trim(c_name, '{SPACE}'), '', '', '' FROM cust),
 g AS (SELECT dataset, count(*) FILTER (WHERE split = 'test') AS h, count(*) FILTER (WHERE split = 'train') AS t,
   count(DISTINCT split) AS k FROM f GROUP BY dataset, a, b, c, d, e)
 SELECT dataset, CAST(coalesce(sum(h) FILTER (WHERE k > 1), 0) AS BIGINT) AS exact_any_split,
@@ -329,7 +330,7 @@ def leakage_verdict(spark, sf):
 
 @query("leakage_verdict_text", using="doc", sql=f"""
 WITH {DOC_SIMS}, {DOC_BG}, {NEAREST},
-g AS (SELECT count(*) FILTER (WHERE split = 'test') AS h, count(DISTINCT split) AS k FROM doc GROUP BY trim(text)),
+g AS (SELECT count(*) FILTER (WHERE split = 'test') AS h, count(DISTINCT split) AS k FROM doc GROUP BY trim(text, '{SPACE}')),
 m AS (SELECT (SELECT count(*) FROM doc WHERE split = 'test') AS n, (SELECT CAST(sum(h) AS BIGINT) FROM g WHERE k > 1) AS exact_any_split,
   (SELECT count(*) FROM nearest, bg WHERE s >= greatest(0.95, background)) AS flagged)
 SELECT 'doc' AS dataset, 'searched' AS reason, (SELECT count(*) FROM vocab) AS width, n AS holdout_rows, exact_any_split, flagged,
@@ -352,7 +353,7 @@ def leakage_verdict_narrow(spark, sf):
 
 @query("audit_report", using="doc", sql=f"""
 WITH {DOC_SIMS}, {DOC_BG}, {NEAREST},
-g AS (SELECT count(*) FILTER (WHERE split = 'test') AS h, count(DISTINCT split) AS k FROM doc GROUP BY trim(text)),
+g AS (SELECT count(*) FILTER (WHERE split = 'test') AS h, count(DISTINCT split) AS k FROM doc GROUP BY trim(text, '{SPACE}')),
 m AS (SELECT (SELECT count(*) FROM doc WHERE split = 'test') AS n, (SELECT coalesce(sum(h), 0) FROM g WHERE k > 1) AS x,
   (SELECT count(*) FROM nearest, bg WHERE s >= greatest(0.95, background)) AS flagged),
 r AS (

@@ -78,3 +78,7 @@ WORST_CASE_HALF_WIDTH = 0.98
 REGRESSION_TOLERANCE = 0.02
 PROJECTION_WIDTH = 64
 PROJECTION_DECIMALS = 4
+
+#: Characters taken off the ends of splits and of compared texts.
+WHITE_SPACE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008" \
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"

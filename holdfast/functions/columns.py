@@ -19,6 +19,8 @@ def _whole_number_text(c: Column) -> Column:
 
 def _plain_text(df: DataFrame, name: str) -> Column:
     c = F.col(f"`{name}`")
+    if isinstance(df.schema[name].dataType, T.BooleanType):
+        return F.when(c, "True").when(~c, "False")
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
         return F.when(~F.isnan(c), _whole_number_text(c.cast("double")))
     return c.cast("string")
@@ -35,7 +37,7 @@ def key_text(df: DataFrame, name: str) -> Column:
 def split_name(df: DataFrame, name: str) -> Column:
     """The normalised split: known spellings fold to train, val or test; unknown
     values stay as their own split; a missing value is ``unlabelled``."""
-    text = F.lower(F.trim(_plain_text(df, name)))
+    text = F.lower(F.trim(_plain_text(df, name), F.lit(fixed.WHITE_SPACE)))
     folded = reduce(
         lambda tail, item: F.when(text.isin(item[1]), F.lit(item[0])).otherwise(tail),
         reversed(fixed.SPLIT_SPELLINGS.items()),

@@ -18,25 +18,32 @@ def _digest(parts: list[str]) -> Column:
     return F.expr(f"sha2(to_json(array({', '.join(parts)})), 256)")
 
 
+_SPACE = "'" + "".join(f"\\u{ord(c):04x}" for c in fixed.WHITE_SPACE) + "'"
+
+
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
 def fingerprint(df: DataFrame, features, decimals: int = fixed.FINGERPRINT_DECIMALS) -> Column:
     """Key of a row's feature values: floats rounded half-even (and -0 as 0), the rest
-    trimmed, missing equal to missing. Grouping by it moves 64 characters per row
+    without white space at their ends, missing (NaN too) equal to missing. Grouping by it moves 64 characters per row
     instead of the features."""
     def part(name: str) -> str:
         if isinstance(df.schema[name].dataType, _FLOATS):
-            return f"CAST(bround(CAST({_quoted(name)} AS DOUBLE), {decimals}) + 0D AS STRING)"
-        return f"trim(CAST({_quoted(name)} AS STRING))"
+            return f"CAST(bround(nullif(CAST({_quoted(name)} AS DOUBLE), double('NaN')), {decimals}) + 0D AS STRING)"
+        return f"trim(BOTH {_SPACE} FROM CAST({_quoted(name)} AS STRING))"
 
     return _digest([part(c) for c in features])
 
 
 def exact_key(df: DataFrame, features) -> Column:
     """Key of the unrounded feature values: equal keys encode to equal vectors."""
-    return _digest([f"CAST({_quoted(c)} AS STRING)" for c in features])
+    def part(name: str) -> str:
+        text = f"CAST({_quoted(name)} AS STRING)"
+        return f"nullif({text}, 'NaN')" if isinstance(df.schema[name].dataType, _FLOATS) else text
+
+    return _digest([part(c) for c in features])
 
 
 def fingerprint_groups(table: AuditTable, holdout: str | None) -> DataFrame:

@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fixtures import two_classes
+from holdfast.functions.columns import key_text, split_name
+from holdfast.operators.duplicates import exact_key, fingerprint
 from holdfast import audit, audit_manifest, audit_table, clamp_threshold
 from holdfast.operators.encode import column_profile, encode, fit_numeric
 from holdfast.operators.leakage import nearest_train
@@ -257,3 +259,16 @@ def test_skewed_keys_give_the_same_counts(spark):
     assert duplicate_ids(t).first().asDict() == {"duplicate_ids": 999, "cross_split_ids": 1}
     assert exact_duplicates(t, "test").first()["exact_in_train"] == 500
     assert [tuple(r) for r in group_overlap(t, "test").collect()] == [("0", 500, 500)]
+
+
+def test_white_space_missing_and_booleans(spark):
+    rows = spark.createDataFrame(
+        [("train\t", True, "same words", float("nan")), ("test\n", True, "same words　\n", None), ("test", False, "others", 1.0)],
+        "split string, label boolean, text string, x double")
+    splits = [r[0] for r in rows.select(split_name(rows, "split")).collect()]
+    assert splits == ["train", "test", "test"]
+    assert [r[0] for r in rows.select(key_text(rows, "label")).collect()] == ["True", "True", "False"]
+    keys = [r[0] for r in rows.select(fingerprint(rows, ["text", "x"])).collect()]
+    assert keys[0] == keys[1] != keys[2]
+    exact = [r[0] for r in rows.select(exact_key(rows, ["x"])).collect()]
+    assert exact[0] == exact[1] != exact[2]

@@ -2,8 +2,8 @@
 
 Every text gets a 64-bit fingerprint of its word shingles. Equal fingerprints are collapsed.
 Fingerprints that differ in at most ``radius`` bits agree on some ``agree`` of ``agree + radius`` bit
-bands, so those equal on a choice of bands form a bucket; no link is missed. Buckets are packed
-into blocks; a block stores its fingerprints vertically, one bit string per bit position, and
+bands, so those equal on a choice of bands form a bucket; no link is missed. Small buckets are packed
+into blocks of some hundred fingerprints; a block stores its fingerprints vertically, one bit string per bit position, and
 counts the differing bits of all its pairs with carry-save counter bits and an overflow
 bit, stopping once every pair has overflowed. Only a spanning forest of the links of a block
 leaves it, so a group of n needs n - 1 rows. Crowded buckets are split into chunks that meet pairwise.
@@ -20,6 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,7 @@ from holdfast.storage import spread, written
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BLOCK = 1024
+FILL = 256
 FAR = 255
 
 
@@ -45,8 +47,17 @@ def shingles(text: bytes, words: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts, stops[words - 1:])]
 
 
-def fingerprints(words: int, seed: int = 42, distinct: bool = False) -> Callable:
-    """Column function: text -> 64-bit fingerprint as a signed long; of repeated shingles all count, or one."""
+def majority(hashes: np.ndarray) -> np.uint64:
+    """A bit is 1 if it is set in over half the hashes."""
+    set_bits = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65_536):
+        bits = np.unpackbits(hashes[at:at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        set_bits += bits.sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * set_bits > len(hashes), bitorder="little").view(np.uint64)[0]
+
+
+def fingerprints(words: int, seed: int = 42) -> Callable:
+    """Column function: text -> 64-bit fingerprint as a signed long; repeated shingles count as often as they occur."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from xxhash import xxh64_intdigest
@@ -55,20 +66,47 @@ def fingerprints(words: int, seed: int = 42, distinct: bool = False) -> Callable
             out = np.zeros(len(batch), np.uint64)
             for row, value in enumerate(batch):
                 found = shingles((value.as_py() or "").encode(), words)
-                if distinct:
-                    found = set(found)
                 if found:
-                    hashes = np.fromiter((xxh64_intdigest(s, seed) for s in found), np.uint64, len(found))
-                    set_bits = np.zeros(64, np.int64)
-                    for at in range(0, len(hashes), 65_536):
-                        bits = np.unpackbits(hashes[at:at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                        set_bits += bits.sum(axis=0, dtype=np.int64)
-                    out[row] = np.packbits(2 * set_bits > len(hashes), bitorder="little").view(np.uint64)[0]
+                    out[row] = majority(np.fromiter((xxh64_intdigest(s, seed) for s in found), np.uint64, len(found)))
             yield pa.array(out.view(np.int64))
 
     return scalar(run, "long")
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads every bit of 64-bit numbers over all of them."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def pair_fingerprints(seeds: tuple[int, ...]) -> Callable:
+    """Column function: text -> a fingerprint of its distinct word pairs (one word: of the word) for each seed."""
+    salts = _mixed(np.array(seeds, np.uint64) + np.uint64(1))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            parts = pc.ascii_split_whitespace(pc.ascii_lower(batch))
+            coded = parts.flatten().dictionary_encode()
+            known = coded.dictionary.to_pylist()
+            of_word = np.fromiter((xxh64_intdigest(w, 42) for w in known), np.uint64, len(known))
+            codes = coded.indices.to_numpy()
+            there = np.array([w != "" for w in known], bool)  # splitting leaves empty words at the ends
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False))
+            out = np.zeros((len(batch), len(seeds)), np.uint64)
+            for row, (start, end) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+                h = codes[start:end]
+                h = of_word[h[there[h]]]
+                if len(h):
+                    pairs = np.unique(_mixed(h[:-1]) + h[1:]) if len(h) > 1 else h
+                    out[row] = [majority(_mixed(pairs ^ salt)) for salt in salts]
+            yield pa.ListArray.from_arrays(np.arange(0, out.size + 1, len(seeds), dtype=np.int32), out.view(np.int64).ravel())
+
+    return scalar(run, "array<long>")
+
+
 def distances(prints: np.ndarray, radius: int) -> np.ndarray | None:
     """Matrix of differing bits, FAR where they are more than ``radius`` (at most 7); None if all pairs are."""
     n = len(prints)
@@ -146,24 +184,28 @@ def links(prints: DataFrame, radius: int = 3, agree: int = 2, block: int = BLOCK
         mask = ((1 << (edges[i + 1] - edges[i])) - 1) << edges[i]
         return F.col("f").bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask))
 
-    keys = [F.struct(F.lit(k).alias("table"), _either([band(i) for i in chosen]).alias("bits"))
-            for k, chosen in enumerate(combinations(range(bands), agree))]
+    # Buckets of equal hash share one list: more is compared, no link is lost.
+    keys = [F.xxhash64(F.lit(k), _either([band(i) for i in chosen])) for k, chosen in enumerate(combinations(range(bands), agree))]
     entry = F.struct("f", F.col("g" if grouped else "f").alias("g"))
     rows = prints.select(entry.alias("e"), F.explode(F.array(*keys)).alias("key"))
-    crowd = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = rows.join(crowd, "key").withColumn("chunks", F.ceil(F.col("n") / block).cast("int")) \
+    crowded = written(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "crowded")
+    dealt = rows.join(crowded, "key", "left").withColumn("chunks", F.coalesce(F.ceil(F.col("n") / block).cast("int"), F.lit(1))) \
         .withColumn("chunk", F.pmod(F.xxhash64("e.f"), F.col("chunks")).cast("int"))
     other = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(
         F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: j != F.col("chunk")))
     met = dealt.select("e", "key", "chunk", F.explode(other).alias("j")).groupBy(
-        "key", F.least("chunk", "j").alias("i"), F.greatest("chunk", "j").alias("j")).agg(F.collect_list("e").alias("es"))
+        "key", F.least("chunk", "j").alias("i"), F.greatest("chunk", "j").alias("j")).agg(F.collect_list("e").alias("es")).where(F.size("es") > 1)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def done():
-            both = np.unique(np.concatenate(held), axis=0)
-            prints, group = np.ascontiguousarray(both[:, 0]), both[:, 1]
+            both = np.concatenate(held)
+            if grouped:
+                both = np.unique(both, axis=0)
+                prints, group = np.ascontiguousarray(both[:, 0]), both[:, 1]
+            else:
+                prints = group = np.unique(both[:, 0])
             far = distances(prints.view(np.uint64), radius)
             if far is None:
                 left = right = np.zeros(0, np.int64)
@@ -178,7 +220,7 @@ def links(prints: DataFrame, radius: int = 3, agree: int = 2, block: int = BLOCK
             values = np.stack([x.to_numpy() for x in lists.flatten().flatten()], axis=1)
             offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             for a, b in zip(offsets[:-1], offsets[1:]):
-                if held and size + b - a > block:
+                if held and size + b - a > FILL:
                     yield done()
                     held, size = [], 0
                 held.append(values[a:b])
@@ -241,8 +283,8 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     are represented by the first. An id is that of one document; null ids take no part.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).where("doc_id is not null")
-    prints = written(spread(texts).select("doc_id", *[fingerprints(2, s, distinct=True)("text").alias(f"f{s}") for s in seeds]), "fingerprints")
-    of_seed = [prints.select("doc_id", F.col(f"f{s}").alias("f")) for s in seeds]
+    prints = written(spread(texts).select("doc_id", pair_fingerprints(seeds)("text").alias("fs")), "fingerprints")
+    of_seed = [prints.select("doc_id", F.col("fs")[k].alias("f")) for k in range(len(seeds))]
     first = [p.groupBy("f").agg(F.min("doc_id").alias("rep")) for p in of_seed]
 
     def ids(found: DataFrame, k: int) -> DataFrame:

@@ -80,27 +80,38 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _word_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word, summed over its bytes and their places; and whether it has any, as splits leave empty words."""
+    sizes = pc.binary_length(words).to_numpy().astype(np.int64)
+    there = sizes > 0
+    starts = np.cumsum(sizes) - sizes
+    total = int(sizes.sum())
+    hashes = np.zeros(len(words), np.uint64)
+    if total:
+        places = np.arange(total) - np.repeat(starts, sizes)
+        code = np.frombuffer(words.buffers()[2], np.uint8, total).astype(np.uint64) + (places.astype(np.uint64) << np.uint64(8))
+        hashes[there] = _mixed(np.add.reduceat(_mixed(code + np.uint64(1)), starts[there]))
+    return hashes, there
+
+
 def pair_fingerprints(seeds: tuple[int, ...]) -> Callable:
     """Column function: text -> a fingerprint of its distinct word pairs (one word: of the word) for each seed."""
     salts = _mixed(np.array(seeds, np.uint64) + np.uint64(1))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        from xxhash import xxh64_intdigest
-
         for batch in batches:
             parts = pc.ascii_split_whitespace(pc.ascii_lower(batch))
             coded = parts.flatten().dictionary_encode()
-            known = coded.dictionary.to_pylist()
-            of_word = np.fromiter((xxh64_intdigest(w, 42) for w in known), np.uint64, len(known))
+            of_word, there = _word_hashes(coded.dictionary)
             codes = coded.indices.to_numpy()
-            there = np.array([w != "" for w in known], bool)  # splitting leaves empty words at the ends
             ends = np.cumsum(pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False))
             out = np.zeros((len(batch), len(seeds)), np.uint64)
             for row, (start, end) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
                 h = codes[start:end]
                 h = of_word[h[there[h]]]
                 if len(h):
-                    pairs = np.unique(_mixed(h[:-1]) + h[1:]) if len(h) > 1 else h
+                    pairs = np.sort(_mixed(h[:-1]) + h[1:]) if len(h) > 1 else h
+                    pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
                     out[row] = [majority(_mixed(pairs ^ salt)) for salt in salts]
             yield pa.ListArray.from_arrays(np.arange(0, out.size + 1, len(seeds), dtype=np.int32), out.view(np.int64).ravel())
 

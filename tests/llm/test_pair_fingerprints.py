@@ -1,0 +1,18 @@
+"""Fingerprints of word pairs on odd texts."""
+
+import pyarrow as pa
+
+from holdfast.llm import simhash
+
+
+def test_pair_fingerprints(monkeypatch):
+    monkeypatch.setattr(simhash, "scalar", lambda fn, kind: fn)
+    run = simhash.pair_fingerprints((42, 7))
+    texts = ["", None, " \t", "Red fox\nran", " red  FOX ran ", "red fox ran red fox ran red fox", "ran fox red", "é É " * 5000]
+    whole = [x.as_py() for x in list(run(iter([pa.array(texts)])))[0]]
+    single = [list(run(iter([pa.array([t], pa.string())])))[0][0].as_py() for t in texts]
+    assert whole == single  # neighbours in a batch do not matter
+    assert whole[:3] == [[0, 0]] * 3
+    assert whole[3] == whole[4] != whole[6]
+    assert whole[3][0] != whole[3][1]
+    assert list(run(iter([pa.array([], pa.string())])))[0].to_pylist() == []

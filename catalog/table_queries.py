@@ -64,9 +64,7 @@ SELECT 'unknown_splits' AS code, count(DISTINCT split) AS n FROM norm
 WHERE split NOT IN ('train','val','test','unlabelled')
 UNION ALL VALUES ('no_group', 1), ('no_prediction', 1)""")
 def loader_warnings(spark, sf):
-    said = summary.warnings_of(spelled_eval(spark, sf))
-    n = F.when(F.col("code") == "unknown_splits", F.size(F.split("message", ",")).cast("bigint")).otherwise(F.lit(1))
-    return said.select("code", n.cast("bigint").alias("n"))
+    return summary.warnings_of(spelled_eval(spark, sf)).groupBy("code").agg(F.count("*").alias("n"))
 
 
 @query("hash_sample", using="event", sql="""

@@ -14,6 +14,9 @@ from holdfast.storage import written
 from holdfast.table import AuditTable, DatasetError, audit_table
 
 
+OVER = "_field_too_many"
+
+
 def _typed(raw: DataFrame) -> DataFrame:
     """Give all-text CSV columns a type: whole number, number, boolean, else text.
 
@@ -51,14 +54,21 @@ def _typed(raw: DataFrame) -> DataFrame:
 
 def load_csv(spark: SparkSession, path: str, *, max_rows: int | None = None,
              schema: T.StructType | None = None, **roles) -> AuditTable:
-    """A CSV file or folder. Give ``schema`` on large inputs: it saves the typing pass."""
+    """A CSV file or folder. Give ``schema`` on large inputs: it saves the typing pass.
+
+    A quoted field may hold line breaks, so a file is read by one task; many files are read side by side.
+    """
     try:
-        reader = spark.read.option("header", True).option("escape", '"').option("multiLine", False)
+        reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
         raw = (reader.schema(schema) if schema else reader).csv(path)
     except AnalysisException as problem:
         raise DatasetError(f"cannot read {path} as CSV: {problem}") from problem
     if not raw.columns:
         raise DatasetError("the table has no rows")
+    # one field more than the columns: what stands there would be lost
+    more = reader.schema(T.StructType([*raw.schema, T.StructField(OVER, T.StringType())])).csv(path)
+    if more.where(F.col(OVER).isNotNull()).limit(1).count():
+        raise DatasetError(f"{path} has lines with more fields than the {len(raw.columns)} columns of its header")
     return _capped(raw if schema else _typed(raw), max_rows, roles)
 
 

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import dedup, disclosure, extraction, forest, licences, machine, packing, pieces, simhash, urlrules
+from holdfast.llm import (
+    dedup, disclosure, extraction, forest, infill, licences, machine, mixing, packing, pieces, simhash, spectrum, urlrules,
+)
 from holdfast.llm.rows import read, text_of
 from holdfast.storage import spread
 
@@ -105,6 +107,72 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.exact_duplicates(read(spark, sf, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """Words that the mix of all sources takes of every document."""
+    return mixing.mix(read(spark, sf, "documents")).taken()
+
+
+# Positions in a source's stream say what a schedule that takes whole passes and one part of a pass must have taken.
+OP11_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS h FROM documents
+), src AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS n, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) + 1] AS w
+  FROM doc GROUP BY source
+), level AS (  -- in order of words per weight: what is left when all sources before are held at 3 times their words
+  SELECT *, CAST(sum(n) OVER () - 3 * coalesce(sum(n) OVER (ORDER BY n / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rest,
+    CAST(sum(w) OVER (ORDER BY n / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS share FROM src
+), best AS (SELECT rest, share FROM level WHERE rest * w <= 3 * n * share ORDER BY n / w, source LIMIT 1
+), goal AS (
+  SELECT source, n, CASE WHEN w * rest > 3 * n * share THEN 3.0::DOUBLE * n ELSE CAST(w * rest AS DOUBLE) / share END AS target,
+    CASE WHEN w * rest > 3 * n * share THEN 3 * n ELSE (2 * w * rest + share) // (2 * share) END AS goal
+  FROM (SELECT source, n, w, b.rest, b.share FROM level, best b)
+), placed AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM doc
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, n AS source_size, target,
+  CAST(CASE WHEN size = 0 THEN 0 ELSE size * (goal // n) + greatest(0, least(size, goal % n - start)) END AS BIGINT) AS taken
+FROM placed p JOIN goal g ON p.source IS NOT DISTINCT FROM g.source
+"""
+
+
+def op12_infill(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text cut and put in fill-in-middle order, as digests of the output and of the text rebuilt from it."""
+    found = infill.transform(read(spark, sf, "documents"))
+    again = infill.restore(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                        F.sha2(again.cast("binary"), 256).alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS unit,
+    sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), draw AS (
+  SELECT *, len(unit) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM doc
+), cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM draw
+), part AS (
+  SELECT doc_id, n, form, text, array_to_string(unit[1:a], '') AS p, array_to_string(unit[a + 1:b], '') AS m, array_to_string(unit[b + 1:], '') AS s FROM cut
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM part
+"""
+
+
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector on the four leading components, whitened."""
+    return spectrum.whiten(read(spark, sf, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_disclosure": op2_disclosure,
@@ -116,5 +184,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_mixing": op11_mixing,
+    "op12_infill": op12_infill,
+    "op13_whitening": op13_whitening,
 }
-ORACLES: dict[str, str] = {"op4_url_rules": OP4_SQL}
+ORACLES: dict[str, str] = {"op4_url_rules": OP4_SQL, "op11_mixing": OP11_SQL, "op12_infill": OP12_SQL}

@@ -115,7 +115,9 @@ def schedule(sources: DataFrame, block_words: int) -> DataFrame:
     parts = wanted.where("slots > 0").select(
         "*", F.explode(F.expr(f"sequence(0L, (slots - 1) div {SLOTS_AT_ONCE})")).alias("_part"))
     here = F.expr(f"sequence(_part * {SLOTS_AT_ONCE}, least(slots, (_part + 1) * {SLOTS_AT_ONCE}) - 1)")
-    points = parts.repartition("source", "_part").select(
+    # so many tasks, as the plan's sizes say nothing of the slots that a row becomes
+    tasks = max(1, many // (8 * SLOTS_AT_ONCE))
+    points = parts.repartition(tasks, "source", "_part").select(
         "source", "first", "slots", "blocks", "goal", "source_size", F.explode(here).alias("point"))
     ranked = points.withColumn("point", F.col("point") + F.col("first")).withColumn("rank", rank_of(bits))
     taken = ranked.select(
@@ -149,13 +151,13 @@ class Mix:
     @property
     def pieces(self) -> DataFrame:
         """The mix in pieces, to be read by slot and ``at``: words ``word`` to ``word + words`` of a document."""
-        met = self.parts.join(self.slots, ["source", "block"]) \
+        met = self.parts.join(self.slots.hint("merge"), ["source", "block"]) \
             .withColumn("words", F.least("length", F.col("words") - F.col("at"))).where("words > 0")
         return met.select("slot", "at", "doc_id", "hash", "word", "words", "source", "pass")
 
     def taken(self) -> DataFrame:
         """Every document with the words the mix takes of it."""
-        met = self.parts.join(self.slots.select("source", "block", "words"), ["source", "block"], "left")
+        met = self.parts.join(self.slots.select("source", "block", "words").hint("merge"), ["source", "block"], "left")
         words = F.greatest(F.lit(0), F.least("length", F.coalesce("words", F.lit(0)) - F.col("at")))
         out = ["doc_id", "size", "source_size", "target"]
         # (source, start) names a row: only rows without words share a start

@@ -38,7 +38,7 @@ from holdfast.storage import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
-RANGE_ROWS = 50_000
+RANGE_ROWS = 10_000
 SLOTS_AT_ONCE = 1 << 16
 
 

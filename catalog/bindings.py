@@ -48,6 +48,14 @@ def emb_leaky(spark, sf) -> AuditTable:
     return bound(widen(plain.unionByName(copies), "embedding", DIMS))
 
 
+def emb_wide(spark, sf) -> AuditTable:
+    """emb_leaky with the products of each dimension and the next, the one after it and so on: 256 columns."""
+    t = emb_leaky(spark, sf)
+    products = [(F.col(f"f{j:02d}") * F.col(f"f{(j + k) % DIMS:02d}")).alias(f"p{k}_{j:02d}")
+                for k in (1, 2, 3) for j in range(DIMS)]
+    return bound(t.df.select("*", *products))
+
+
 def doc_eval(spark, sf) -> AuditTable:
     return bound(read(spark, sf, "documents").select(
         F.col("doc_id").alias("id"), fifth("doc_id"), F.col("lang").alias("label"),
@@ -151,6 +159,16 @@ emb AS MATERIALIZED (
   SELECT id + 1000000, 'test', label, prediction,
     list_transform(v, lambda x, j: x * (1 + 0.01 * ((j - 1 + id) % 3)))
   FROM emb_plain WHERE split = 'train' AND id % 50 = 1)""",
+    "emb_wide": """emb_plain AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 5 = 0 THEN 'test' ELSE 'train' END AS split,
+    CAST(label AS VARCHAR) AS label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+emb_narrow AS (
+  SELECT * FROM emb_plain UNION ALL
+  SELECT id + 1000000, 'test', label, list_transform(v, lambda x, j: x * (1 + 0.01 * ((j - 1 + id) % 3)))
+  FROM emb_plain WHERE split = 'train' AND id % 50 = 1),
+emb AS MATERIALIZED (SELECT id, split, label, list_concat(v, list_concat(
+    list_transform(v, lambda x, j: x * v[j % 64 + 1]), list_concat(list_transform(v, lambda x, j: x * v[(j + 1) % 64 + 1]),
+    list_transform(v, lambda x, j: x * v[(j + 2) % 64 + 1])))) AS v FROM emb_narrow)""",
     "doc": """doc AS MATERIALIZED (
   SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, lang AS label,
     CASE WHEN doc_id % 11 = 0 THEN 'en' ELSE lang END AS prediction, source AS grp, text FROM documents)""",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.bindings import (
-    DIMS, cust_eval, doc_eval, emb_eval, emb_leaky, line_eval, part_eval,
+    DIMS, cust_eval, doc_eval, emb_eval, emb_leaky, emb_wide, line_eval, part_eval,
 )
 from catalog.check_queries import _BASELINE, _ISSUES, stacked
 from catalog.registry import named, query, rounded
@@ -15,6 +15,7 @@ from holdfast.operators import duplicates, encode, leakage
 from holdfast.operators.background import (
     background_pairs, background_similarity, calibrated_threshold,
 )
+from holdfast.operators.nearest import BlockPlan
 from holdfast.operators.ngrams import document_frequency
 from holdfast.plans.report import audit
 from holdfast.storage import spread, written
@@ -48,7 +49,7 @@ DOC_SIMS = DOC_CELLS + """,
 sims AS MATERIALIZED (SELECT a.id AS h, b.id AS t, round(sum(a.w * b.w), 6) AS s
   FROM (SELECT id, no, w FROM cells WHERE split = 'test') a
   JOIN (SELECT id, no, w FROM cells WHERE split = 'train') b USING (no) GROUP BY a.id, b.id)"""
-EMB_UNIT = """dims AS (SELECT id, split, unnest(v) AS x, unnest(range(1, 65)) AS j FROM emb),
+EMB_UNIT = """dims AS (SELECT id, split, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS j FROM emb),
 stat AS (SELECT j, avg(x) AS m, stddev_pop(x) AS sd FROM dims GROUP BY j),
 z AS (SELECT id, split, list((x - m) / sd ORDER BY j) AS z FROM dims JOIN stat USING (j) GROUP BY id, split),
 unit AS MATERIALIZED (SELECT id, split, list_transform(z, lambda x: x / sqrt(list_dot_product(z, z))) AS u FROM z)"""
@@ -60,10 +61,11 @@ nearest AS MATERIALIZED (SELECT h, t, s FROM sims QUALIFY row_number() OVER (PAR
 
 
 def background_sql(rows: str, cosine: str) -> str:
-    return f"""picked AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR)), id) - 1 AS place,
-    least(count(*) OVER (), 4096) AS n FROM {rows} QUALIFY place < 4096),
-pairs AS (SELECT k, (k * 7919 + 13) % n AS l, (k * 104729 + (k // n) * 31 + 7) % n AS r
-  FROM range(40000) AS g(k), (SELECT max(n) AS n FROM picked)),
+    return f"""picked AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR)), id) - 1 AS place FROM {rows}),
+steps AS MATERIALIZED (SELECT n, min(7919 + i) FILTER (WHERE gcd(7919 + i, n) = 1) AS p,
+    min(104729 + i) FILTER (WHERE gcd(104729 + i, n) = 1) AS q
+  FROM (SELECT count(*) AS n FROM picked), range(0, 1000, 2) AS s(i) GROUP BY n),
+pairs AS (SELECT k, (k * p + 13) % n AS l, (k * q + (k // n) * 31 + 7) % n AS r FROM range(40000) AS g(k), steps),
 rel AS (SELECT a.id AS x, b.id AS y, k FROM pairs JOIN picked a ON a.place = l JOIN picked b ON b.place = r WHERE l <> r),
 bg AS MATERIALIZED (SELECT round(quantile_cont(s, 0.995), 6) AS background FROM ({cosine}))"""
 
@@ -194,6 +196,11 @@ parts AS MATERIALIZED (
   UNION ALL SELECT id, term, w / sqrt(3) FROM unit)"""
 
 
+PART_SIMS = _PART_UNIT + """, sims AS MATERIALIZED (SELECT a.id AS h, b.id AS t, round(sum(a.w * b.w), 6) AS s
+  FROM (SELECT p.* FROM parts p JOIN part_rows USING (id) WHERE split = 'test') a
+  JOIN (SELECT p.* FROM parts p JOIN part_rows USING (id) WHERE split = 'train') b USING (term) GROUP BY a.id, b.id)"""
+
+
 @query("encode_blocks", using="part", sql=f"""
 WITH {_PART_UNIT} SELECT id, round(sum(w) FILTER (WHERE term IN (':size', ':price', ':size_text')), 6) AS number_sum,
   round(sum(w) FILTER (WHERE term LIKE ':%=%'), 6) AS level_sum,
@@ -218,16 +225,18 @@ def encode_blocks(spark, sf):
 
 # ------------------------------------------------------------------ similarity search
 
-def _twins(table, floor: float | None) -> tuple[DataFrame, encode.EncodedTable]:
+def _twins(table, floor: float | None, plan=None) -> tuple[DataFrame, encode.EncodedTable]:
     coded = encode.encode(table, "test", "id")
-    return leakage.nearest_train(coded, floor), coded
+    return leakage.nearest_train(coded, floor, plan), coded
 
 
 def _per_row(table, twins) -> DataFrame:
     # written: the rows meet the result in three joins
-    return leakage.nearest_per_row(table, "test", "id", written(twins, "twins"))
+    return leakage.nearest_per_row(duplicates.row_keys(table, "test", "id"), "test", written(twins, "twins"))
 
 
+#: Many cells whatever the size of the table, so that small tables take the path of large ones.
+CELLS = BlockPlan(one_cell_rows=20, max_pivots=20)
 _ROWS = "SELECT h AS holdout_id, t AS train_id, s AS similarity FROM nearest"
 
 
@@ -245,15 +254,26 @@ def nearest_train_text(spark, sf):
 
 
 @query("nearest_train_mixed", using="part", sql=f"""
-WITH {_PART_UNIT}, sims AS MATERIALIZED (SELECT a.id AS h, b.id AS t, round(sum(a.w * b.w), 6) AS s
-  FROM (SELECT p.* FROM parts p JOIN part_rows USING (id) WHERE split = 'test') a
-  JOIN (SELECT p.* FROM parts p JOIN part_rows USING (id) WHERE split = 'train') b USING (term) GROUP BY a.id, b.id), {NEAREST}
-SELECT h AS holdout_id, t AS train_id, s AS similarity FROM nearest WHERE s >= 0.5""")
+WITH {PART_SIMS}, {NEAREST} SELECT h AS holdout_id, t AS train_id, s AS similarity FROM nearest WHERE s >= 0.5""")
 def nearest_train_mixed(spark, sf):
     t = part_eval(spark, sf)
     return _per_row(t, _twins(t, 0.5)[0])
 
 
+@query("nearest_cells_dense", using="emb", sql=f"WITH {EMB_SIMS}, {NEAREST} {_ROWS}")
+def nearest_cells_dense(spark, sf):
+    """nearest_train in 20 cells."""
+    t = emb_eval(spark, sf)
+    return _per_row(t, _twins(t, None, CELLS)[0])
+
+
+@query("nearest_cells_text", using="doc", sql=f"WITH {DOC_SIMS}, {NEAREST} {_ROWS} WHERE s >= 0.95")
+def nearest_cells_text(spark, sf):
+    """near_dup_rows in 20 cells."""
+    t = doc_eval(spark, sf)
+    return _per_row(t, _twins(t, 0.95, CELLS)[0])
+
+
 @query("near_dup_rows", using="doc", sql=f"WITH {DOC_SIMS}, {NEAREST} {_ROWS} WHERE s >= 0.95")
 def near_dup_rows(spark, sf):
     """Every hold-out document with a train twin at or above the threshold."""
@@ -268,7 +288,7 @@ SELECT round_even(s, 4) AS similarity, CAST(h AS VARCHAR) AS holdout_id, CAST(t
 FROM nearest JOIN doc a ON a.id = h JOIN doc b ON b.id = t WHERE s >= 0.95 ORDER BY s DESC, h, t LIMIT 25""")
 def near_dup_pairs(spark, sf):
     t = doc_eval(spark, sf)
-    return leakage.near_duplicate_pairs(t, "test", "id", _twins(t, 0.95)[0], 0.95)
+    return leakage.near_duplicate_pairs(t, "test", duplicates.row_keys(t, "test", "id"), _twins(t, 0.95)[0], 0.95)
 
 
 @query("near_dup_pairs_dense", using="emb_leaky", sql=f"""
@@ -278,12 +298,47 @@ def near_dup_pairs_dense(spark, sf):
     return _per_row(t, _twins(t, 0.95)[0])
 
 
+@query("near_dup_pairs_wide", using="emb_wide", sql=f"""
+WITH {EMB_SIMS}, {NEAREST}
+SELECT round_even(s, 4) AS similarity, CAST(h AS VARCHAR) AS holdout_id, CAST(t AS VARCHAR) AS train_id,
+  a.label AS holdout_label, b.label AS train_label
+FROM nearest JOIN emb a ON a.id = h JOIN emb b ON b.id = t WHERE s >= 0.95 ORDER BY s DESC, h, t LIMIT 25""")
+def near_dup_pairs_wide(spark, sf):
+    """The most similar pairs over 256 feature columns."""
+    t = emb_wide(spark, sf)
+    return leakage.near_duplicate_pairs(t, "test", duplicates.row_keys(t, "test", "id"), _twins(t, 0.95)[0], 0.95)
+
+
+_CLOSEST = "SELECT h AS holdout_id, t AS train_id, s AS similarity FROM sims ORDER BY s DESC, h, t LIMIT 1"
+
+
+def _closest(table, plan=None) -> DataFrame:
+    found = leakage.closest_pair(encode.encode(table, "test", "id"), plan)
+    return found.withColumnsRenamed({"held_ref": "holdout_id", "train_ref": "train_id"})
+
+
+@query("closest_pair_dense", using="emb", sql=f"WITH {EMB_SIMS} {_CLOSEST}")
+def closest_pair_dense(spark, sf):
+    """The most similar pair across the split, in 20 cells."""
+    return _closest(emb_eval(spark, sf), CELLS)
+
+
+@query("closest_pair_text", using="doc", sql=f"WITH {DOC_SIMS} {_CLOSEST}")
+def closest_pair_text(spark, sf):
+    return _closest(doc_eval(spark, sf), CELLS)
+
+
+@query("closest_pair_mixed", using="part", sql=f"WITH {PART_SIMS} {_CLOSEST}")
+def closest_pair_mixed(spark, sf):
+    return _closest(part_eval(spark, sf), CELLS)
+
+
 # ------------------------------------------------------------------ calibration and verdict
 
 @query("background_similarity", using="emb", sql=f"WITH {EMB_UNIT}, {EMB_BG} SELECT background FROM bg")
 def background(spark, sf):
     t = emb_eval(spark, sf)
-    return background_similarity(background_pairs(t, "test", "id", encode.fit(t.df, t.features)))
+    return background_similarity(background_pairs(duplicates.row_keys(t, "test", "id"), encode.encode(t, "test", "id")))
 
 
 @query("calibrated_threshold", using="doc", sql=f"""
@@ -293,7 +348,7 @@ FROM bg, (VALUES (0.5), (0.8), (0.95)) a(asked)""")
 def calibrated(spark, sf):
     t = doc_eval(spark, sf)
     coded = encode.encode(t, "test", "id")
-    bg = background_similarity(background_pairs(t, "test", "id", coded.encoding)).first()["background"]
+    bg = background_similarity(background_pairs(duplicates.row_keys(t, "test", "id"), coded)).first()["background"]
     return spark.createDataFrame(
         [(a, bg, calibrated_threshold(a, bg)) for a in (0.5, 0.8, 0.95)],
         "asked double, background double, threshold double")
@@ -328,6 +383,16 @@ def leakage_verdict(spark, sf):
     return named(leakage.leakage_verdict(emb_leaky(spark, sf)).measures, "emb_leaky").select(*_VERDICT)
 
 
+@query("leakage_verdict_clean", using="emb", sql=f"""
+WITH {EMB_SIMS}, {EMB_BG}
+SELECT 'emb' AS dataset, 'pass' AS status, CAST(0 AS BIGINT) AS flagged, max(s) AS max_similarity,
+  (SELECT greatest(0.95, background) FROM bg) AS threshold FROM sims""")
+def leakage_verdict_clean(spark, sf):
+    """Nothing is flagged; the closest pair is told all the same."""
+    m = leakage.leakage_verdict(emb_eval(spark, sf)).measures
+    return named(m, "emb").select("dataset", "status", "flagged", "max_similarity", "threshold")
+
+
 @query("leakage_verdict_text", using="doc", sql=f"""
 WITH {DOC_SIMS}, {DOC_BG}, {NEAREST},
 g AS (SELECT count(*) FILTER (WHERE split = 'test') AS h, count(DISTINCT split) AS k FROM doc GROUP BY trim(text, '{SPACE}')),

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from holdfast import fixed
 from holdfast.operators.summary import several_splits
+from holdfast.storage import written
 from holdfast.table import AuditTable
 
 _FLOATS = (T.DoubleType, T.FloatType)
@@ -46,6 +47,19 @@ def exact_key(df: DataFrame, features) -> Column:
     return _digest([part(c) for c in features])
 
 
+def row_keys(table: AuditTable, holdout: str | None, ref: str) -> DataFrame:
+    """Train and hold-out rows on four narrow columns: ref, key (of the content), split, label.
+
+    Written once. Joins meet on its plain key: the expression over all features, used as a join key, would be
+    copied into the filters that Catalyst infers, once for every join.
+    """
+    split = F.col(f"`{table.split}`")
+    rows = table.df.where(split.isin("train", holdout))
+    return written(rows.select(
+        F.col(f"`{ref}`").alias("ref"), exact_key(rows, table.features).alias("key"),
+        split.alias("split"), table.key("label").alias("label")), "row-keys")
+
+
 def fingerprint_groups(table: AuditTable, holdout: str | None) -> DataFrame:
     """Per distinct row content: hold-out rows, train rows, whether it lies in several splits."""
     s = F.col("split")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +13,10 @@ from holdfast.functions.columns import status_of
 from holdfast.operators.background import (
     background_pairs, background_similarity, calibrated_threshold,
 )
-from holdfast.operators.duplicates import exact_duplicates, exact_key
+from holdfast.operators.duplicates import exact_duplicates, row_keys
 from holdfast.operators.encode import EncodedTable, Encoding, compared_rows, encode, fit
 from holdfast.operators.nearest import BlockPlan, nearest_neighbours
+from holdfast.operators.nearest import closest_pair as closest_contents
 from holdfast.operators.summary import holdout_choice, one_row
 from holdfast.sources.readers import with_row_position
 from holdfast.storage import written
@@ -38,31 +40,56 @@ def display_id(table: AuditTable, value):
 def nearest_train(coded: EncodedTable, floor: float | None, plan: BlockPlan | None = None) -> DataFrame:
     """Per distinct hold-out content its most similar train content (see nearest_neighbours),
     with the copies it stands for."""
-    # without text there is nothing to weigh, and the rows are unit vectors already
-    idf = coded.encoding.idf if coded.encoding.terms else None
+    held, train, idf = _sides(coded)
+    return _about(coded, nearest_neighbours(held, train, floor, plan, idf))
+
+
+def _sides(coded: EncodedTable) -> tuple[DataFrame, DataFrame, np.ndarray | None]:
+    """Hold-out and train contents as the searches take them, and the idf (None: unit vectors already)."""
     rows = coded.counted
     parts = ["key", "dense", "terms", "weights", "scale"]
-    held, train = rows.where("held_rows > 0"), rows.where("train_rows > 0")
-    best = nearest_neighbours(
-        held.select(*parts), train.select(*parts, F.col("train_ref").alias("ref")), floor, plan, idf)
-    about = held.select(F.col("key").alias("query_key"), "held_rows", "held_right", "held_ref")
+    return (rows.where("held_rows > 0").select(*parts),
+            rows.where("train_rows > 0").select(*parts, F.col("train_ref").alias("ref")),
+            coded.encoding.idf if coded.encoding.terms else None)
+
+
+def _about(coded: EncodedTable, best: DataFrame) -> DataFrame:
+    about = coded.counted.where("held_rows > 0").select(F.col("key").alias("query_key"), "held_rows", "held_right", "held_ref")
     return best.join(about, "query_key").select(
         "query_key", "held_ref", "held_rows", "held_right",
         F.col("ref").alias("train_ref"), "similarity")
 
 
+def closest_pair(coded: EncodedTable, plan: BlockPlan | None = None) -> DataFrame:
+    """One row, the most similar hold-out and train contents (smallest refs on ties), or none: held_ref, train_ref, similarity."""
+    held, train, idf = _sides(coded)
+    return _about(coded, closest_contents(held, train, plan, idf)) \
+        .orderBy(F.desc("similarity"), "held_ref", "train_ref").limit(1).select("held_ref", "train_ref", "similarity")
+
+
+def highest_similarity(coded: EncodedTable, plan: BlockPlan | None = None) -> float | None:
+    """Similarity of the closest pair; null only when a side has no rows. Rows that encode to nothing have 0 with all."""
+    seen = coded.raw.agg(*[
+        F.count_if((F.col(side) > 0) & (F.col("blocks") > 0 if sound else F.col("blocks") == 0)).alias(f"{side}_{sound}")
+        for side in ("held_rows", "train_rows") for sound in (True, False)]).first()
+    rows = {side: seen[f"{side}_True"] + seen[f"{side}_False"] for side in ("held_rows", "train_rows")}
+    if not all(rows.values()):
+        return None
+    best = closest_pair(coded, plan).first()
+    empty = seen["held_rows_False"] or seen["train_rows_False"]
+    return max([s for s in (best and best["similarity"], 0.0 if empty else None) if s is not None])
+
+
 HOT_COPIES = 1_000_000
 
 
-def nearest_per_row(table: AuditTable, holdout: str, ref: str, twins: DataFrame,
-                    hot_copies: int = HOT_COPIES) -> DataFrame:
-    """The result spread over every hold-out row: holdout_id, train_id, similarity.
+def nearest_per_row(keys: DataFrame, holdout: str, twins: DataFrame, hot_copies: int = HOT_COPIES) -> DataFrame:
+    """The result spread over every hold-out row of ``keys``: holdout_id, train_id, similarity.
 
     Contents with very many copies are few (at most one per ``hot_copies`` rows): they
     are broadcast, so their rows stay where they are; the rest meet by key.
     """
-    hold = table.rows_of(holdout)
-    rows = hold.select(F.col(f"`{ref}`").alias("holdout_id"), exact_key(hold, table.features).alias("query_key"))
+    rows = keys.where(F.col("split") == holdout).select(F.col("ref").alias("holdout_id"), F.col("key").alias("query_key"))
     found = twins.select("query_key", "train_ref", "similarity", "held_rows")
     hot = found.where(F.col("held_rows") > hot_copies)
     usual = found.where(F.col("held_rows") <= hot_copies)
@@ -71,7 +98,7 @@ def nearest_per_row(table: AuditTable, holdout: str, ref: str, twins: DataFrame,
     return many.unionByName(single).select("holdout_id", F.col("train_ref").alias("train_id"), "similarity")
 
 
-def near_duplicate_pairs(table: AuditTable, holdout: str, ref: str, twins: DataFrame,
+def near_duplicate_pairs(table: AuditTable, holdout: str, keys: DataFrame, twins: DataFrame,
                          threshold: float, limit: int = fixed.PAIRS_SHOWN) -> DataFrame:
     """The most similar hold-out rows and their train twins, with both labels.
 
@@ -81,13 +108,11 @@ def near_duplicate_pairs(table: AuditTable, holdout: str, ref: str, twins: DataF
     top = twins.where(F.col("similarity") >= threshold) \
         .orderBy(F.desc("similarity"), "held_ref", "train_ref").limit(limit) \
         .select("query_key", "train_ref", "similarity")
-    hold = table.rows_of(holdout)
-    rows = hold.select(
-        F.col(f"`{ref}`").alias("_held"), exact_key(hold, table.features).alias("query_key"),
-        table.key("label").alias("holdout_label"),
+    rows = keys.where(F.col("split") == holdout).select(
+        F.col("ref").alias("_held"), F.col("key").alias("query_key"), F.col("label").alias("holdout_label"),
     ).join(F.broadcast(top), "query_key") \
         .orderBy(F.desc("similarity"), "_held", "train_ref", "holdout_label").limit(limit)
-    train = table.rows_of("train").select(F.col(f"`{ref}`").alias("train_ref"), table.key("label").alias("train_label"))
+    train = keys.where("split = 'train'").select(F.col("ref").alias("train_ref"), F.col("label").alias("train_label"))
     wanted = rows.select("train_ref").distinct()
     labels = train.join(F.broadcast(wanted), "train_ref") \
         .groupBy("train_ref").agg(F.min("train_label").alias("train_label"))
@@ -175,15 +200,16 @@ def leakage_verdict(table: AuditTable, holdout: str | None = None, *,
         return LeakageResult(low.withColumn("status", status), None)
 
     table, ref = with_ref(table)
+    keys = row_keys(table, holdout, ref)
     coded = encode(table, holdout, ref, encoding)
-    background = background_similarity(
-        background_pairs(table, holdout, ref, coded.encoding)).first()["background"]
+    background = background_similarity(background_pairs(keys, coded)).first()["background"]
     effective = calibrated_threshold(threshold, background)
     # Nothing below the threshold is asked for, so it is the floor of the search.
     twins = written(nearest_train(coded, effective, plan), "twins")
-    measured = _measures(
-        one_row(leak_measures(table, holdout, twins, effective), twins_exact),
-        reason="searched", background=background, **known)
+    found = leak_measures(table, holdout, twins, effective)
+    if twins.isEmpty():  # nothing reaches the threshold: how near did the nearest come?
+        found = found.withColumn("max_similarity", F.lit(highest_similarity(coded, plan)).cast("double"))
+    measured = _measures(one_row(found, twins_exact), reason="searched", background=background, **known)
     none_flagged = (F.col("flagged") == 0) & (F.col("exact_any_split") == 0)
     status = status_of(
         (none_flagged, fixed.PASS),
@@ -191,4 +217,4 @@ def leakage_verdict(table: AuditTable, holdout: str | None = None, *,
         otherwise=fixed.WARN)
     return LeakageResult(
         measured.withColumn("status", status),
-        near_duplicate_pairs(table, holdout, ref, twins, effective))
+        near_duplicate_pairs(table, holdout, keys, twins, effective))

@@ -164,11 +164,13 @@ def _worth_all(pairs: int, q: _Vectors, b: _Vectors) -> bool:
     return one_by_one > together
 
 
-def _best_pairs(q: _Vectors, b: _Vectors, bound: np.ndarray, chunk_cells: int = 8_000_000):
+def _best_pairs(q: _Vectors, b: _Vectors, bound: np.ndarray, chunk_cells: int = 8_000_000, one: bool = False):
     """Per query row with a partner at or above its bound: (row, base row, cosine).
 
-    Base rows come in tie-break order, so the lowest index wins among equal cosines.
+    Base rows come in tie-break order, so the lowest index wins among equal cosines. With ``one``, only
+    rows that may hold the best pair of all are wanted: what any row has reached is a bound for the others.
     """
+    reached = -np.inf
     sparse = q.sparse and b.sparse
     left, right = q.filter_matrix(sparse), b.filter_matrix(sparse)
     slack = SLACK + (1e-5 if sparse else 0.0)
@@ -181,11 +183,15 @@ def _best_pairs(q: _Vectors, b: _Vectors, bound: np.ndarray, chunk_cells: int =
             # the partner with the highest upper bound gives each row a real cosine to beat
             first = _pair_cosines(q, b, np.arange(len(upper)) + at, upper.argmax(axis=1))
             need = np.maximum(need, first)
+            if one:
+                need = np.maximum(need, reached := max(reached, first.max()))
             if _worth_all(np.count_nonzero(upper >= (need - slack)[:, None]), q, b):
                 upper = _all_cosines(q.rows(at, at + len(upper)), b)
                 need = np.maximum(need, upper.max(axis=1) - slack)
         else:
             need = np.maximum(need, upper.max(axis=1))
+            if one:
+                need = np.maximum(need, reached := max(reached, need.max()))
         i, j = np.nonzero(upper >= (need - slack)[:, None])
         cosine = np.round(_pair_cosines(q, b, i + at, j) if sparse else upper[i, j], SIM_DECIMALS)
         order = np.lexsort((j, -cosine, i))
@@ -216,6 +222,21 @@ class _Cells:
         cell = close.argmax(axis=1)
         return cell, close[np.arange(v.n), cell].astype(float)
 
+    def best_possible(self, v: _Vectors) -> np.ndarray:
+        """Per row and cell, a cosine that no base row of that cell exceeds; -2 for home and empty cells."""
+        close = self.closeness(v).astype(float)
+        home = close.argmax(axis=1)
+        margin = 1e-4  # single-precision products, both sides
+        gap = np.maximum(0.0, close[np.arange(v.n), home][:, None] - close - margin)
+        between = np.clip(self.pivots.astype(float) @ self.pivots.T.astype(float), -1, 1)
+        apart = np.sqrt(np.maximum(0.0, 2 - 2 * between))[home]
+        past = np.arcsin(np.clip(np.divide(gap, apart, out=np.zeros_like(gap), where=apart > 0), 0, 1))
+        outside = np.arccos(np.clip(close, -1, 1)) - self.radius - math.sqrt(2 * margin)
+        out = np.cos(np.maximum(past, np.clip(outside, 0, math.pi)))
+        out[:, self.rows == 0] = -2.0
+        out[np.arange(v.n), home] = -2.0
+        return out
+
     def to_visit(self, v: _Vectors, bound: np.ndarray) -> list[np.ndarray]:
         """Cells other than home that can hold a base row at or above each row's bound."""
         close = self.closeness(v).astype(float)
@@ -256,6 +277,19 @@ def _visits_of(cells: _Cells):
     return visits(*PARTS, "bound")
 
 
+def _possible_of(cells: _Cells):
+    """Per row the cells and what they may hold at most: array of (cell, most), for those that may beat ``bound``."""
+    @F.arrow_udf("array<struct<cell:int,most:double>>")
+    def possible(dense: pa.Array, terms: pa.Array, weights: pa.Array, scale: pa.Array, bound: pa.Array) -> pa.Array:
+        most = cells.best_possible(_Vectors(dense, terms, weights, scale, cells.idf))
+        row, cell = np.nonzero(most >= bound.to_numpy(zero_copy_only=False)[:, None] - SLACK)
+        pairs = pa.StructArray.from_arrays([pa.array(cell, pa.int32()), pa.array(most[row, cell])], ["cell", "most"])
+        offsets = np.searchsorted(row, np.arange(len(most) + 1))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)
+
+    return possible(*PARTS, "bound")
+
+
 def _choose_pivots(base: DataFrame, plan: BlockPlan, rows: int, width: int, sparse: bool,
                    idf: np.ndarray | None) -> _Cells:
     k = plan.pivots(rows, width)
@@ -282,8 +316,8 @@ def _per_cell(df: DataFrame, size: int) -> np.ndarray:
 # --------------------------------------------------------------- the join
 
 def _block_join(queries: DataFrame, base: DataFrame, q_rows: np.ndarray, b_rows: np.ndarray,
-                block: int, idf: np.ndarray | None) -> DataFrame:
-    """Compare queries and base rows that share a cell, block pair by block pair."""
+                block: int, idf: np.ndarray | None, one: bool = False) -> DataFrame:
+    """Compare queries and base rows that share a cell, block pair by block pair; ``one``: see _best_pairs."""
     spark = base.sparkSession
     q_cuts, b_cuts = -(-q_rows // block), -(-b_rows // block)
     used = np.flatnonzero((q_cuts > 0) & (b_cuts > 0))
@@ -314,7 +348,7 @@ def _block_join(queries: DataFrame, base: DataFrame, q_rows: np.ndarray, b_rows:
         right = right.sort_by([("ref", "ascending"), ("key", "ascending")]) if right.num_rows else right
         if left.num_rows and right.num_rows:
             i, j, cosine = _best_pairs(
-                _Vectors.of(left, idf), _Vectors.of(right, idf), left["bound"].to_numpy())
+                _Vectors.of(left, idf), _Vectors.of(right, idf), left["bound"].to_numpy(), one=one)
         else:
             i = j = cosine = np.empty(0, int)
         return pa.table({
@@ -335,17 +369,32 @@ def _best(pairs: DataFrame) -> DataFrame:
         (-F.col("best.s")).alias("similarity"))
 
 
-def nearest_neighbours(queries: DataFrame, base: DataFrame, floor: float | None = None,
-                       plan: BlockPlan | None = None, idf: np.ndarray | None = None) -> DataFrame:
-    """Per query row its most similar base row: query_key, base_key, ref, similarity.
+@dataclass
+class _Search:
+    """Both sides placed in cells: what the two searches start from."""
 
-    Both sides: ``key`` (unique text), ``dense`` array<double>, ``terms`` array<int> and
-    ``weights`` array<double>; together a unit vector. ``base`` also has ``ref``, which
-    breaks ties. Give tables that are cheap to read again, such as written ones. Queries
-    with no base row at or above ``floor`` are absent; without a floor all are present.
+    queries: DataFrame
+    placed: DataFrame
+    cells: _Cells
+    block: int
+    idf: np.ndarray | None
 
-    With ``idf``, ``weights`` holds term counts and ``scale`` the norm of the sparse part.
-    """
+    def at_home(self, df: DataFrame) -> DataFrame:
+        if len(self.cells.pivots) == 1:
+            return df.withColumn("cell", F.lit(0)).withColumn("closeness", F.lit(-1.0))
+        return df.withColumn("_home", _home_of(self.cells)) \
+            .withColumns({"cell": F.col("_home.cell"), "closeness": F.col("_home.closeness")}).drop("_home")
+
+    def join(self, visiting: DataFrame, one: bool = False) -> DataFrame | None:
+        """Best pairs of queries with the cell they visit; None when nobody visits."""
+        rows = _per_cell(visiting.select("cell"), len(self.cells.pivots))
+        if not rows.any():
+            return None
+        return _best(_block_join(visiting, self.placed, rows, self.cells.rows, self.block, self.idf, one))
+
+
+def _placed(queries: DataFrame, base: DataFrame, plan: BlockPlan | None, idf: np.ndarray | None) -> _Search | None:
+    """None without base rows."""
     plan = plan or BlockPlan()
     if idf is None:
         queries, base = (df.withColumn("scale", F.lit(1.0)) for df in (queries, base))
@@ -353,12 +402,8 @@ def nearest_neighbours(queries: DataFrame, base: DataFrame, floor: float | None
         F.count("*").alias("rows"), F.max(F.size("dense")).alias("dense"),
         F.avg(F.size("terms")).alias("terms"), F.max(F.size("terms")).alias("most"),
     ).first()
-    lowest = -1.0 if floor is None else float(floor)
     if not size["rows"]:
-        schema = T.StructType([
-            T.StructField("query_key", T.StringType()), T.StructField("base_key", T.StringType()),
-            base.schema["ref"], T.StructField("similarity", T.DoubleType())])
-        return base.sparkSession.createDataFrame([], schema)
+        return None
     sparse = size["most"] > 0
     width = size["dense"] + (SKETCH_WIDTH if sparse else 0)
     block = plan.block_rows(
@@ -366,30 +411,90 @@ def nearest_neighbours(queries: DataFrame, base: DataFrame, floor: float | None
         size["rows"], base.sparkSession.sparkContext.defaultParallelism)
     cells = _choose_pivots(base, plan, size["rows"], width, sparse, idf)
     count = len(cells.pivots)
-
-    def at_home(df: DataFrame) -> DataFrame:
-        if count == 1:
-            return df.withColumn("cell", F.lit(0)).withColumn("closeness", F.lit(-1.0))
-        return df.withColumn("_home", _home_of(cells)) \
-            .withColumns({"cell": F.col("_home.cell"), "closeness": F.col("_home.closeness")}).drop("_home")
-
-    placed = at_home(base)
+    search = _Search(queries, base, cells, block, idf)
+    search.placed = search.at_home(base)
     cells.rows, cells.radius = np.zeros(count, np.int64), np.full(count, math.pi)
-    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("closeness").alias("c")).collect():
+    for r in search.placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("closeness").alias("c")).collect():
         cells.rows[r["cell"]] = r["n"]
         cells.radius[r["cell"]] = math.acos(max(-1.0, min(1.0, r["c"])))
+    return search
+
+
+def _no_pairs(base: DataFrame) -> DataFrame:
+    schema = T.StructType([
+        T.StructField("query_key", T.StringType()), T.StructField("base_key", T.StringType()),
+        base.schema["ref"], T.StructField("similarity", T.DoubleType())])
+    return base.sparkSession.createDataFrame([], schema)
 
-    homed = at_home(queries).withColumn("bound", F.lit(lowest))
-    home_pairs = _block_join(homed, placed, _per_cell(homed.select("cell"), count), cells.rows, block, idf)
-    if count == 1:
-        return _best(home_pairs)
+
+def nearest_neighbours(queries: DataFrame, base: DataFrame, floor: float | None = None,
+                       plan: BlockPlan | None = None, idf: np.ndarray | None = None) -> DataFrame:
+    """Per query row its most similar base row: query_key, base_key, ref, similarity.
+
+    Both sides: ``key`` (unique text), ``dense`` array<double>, ``terms`` array<int> and
+    ``weights`` array<double>; together a unit vector. ``base`` also has ``ref``, which
+    breaks ties. Give tables that are cheap to read again, such as written ones. Queries
+    with no base row at or above ``floor`` are absent; without a floor all are present.
+
+    With ``idf``, ``weights`` holds term counts and ``scale`` the norm of the sparse part.
+    """
+    search = _placed(queries, base, plan, idf)
+    if search is None:
+        return _no_pairs(base)
+    lowest = F.lit(-1.0 if floor is None else float(floor))
+    home = search.join(search.at_home(search.queries).withColumn("bound", lowest))
+    if home is None:
+        return _no_pairs(base)
+    if len(search.cells.pivots) == 1:
+        return home
 
     # What each query found at home is the least it must beat elsewhere.
-    first = written(_best(home_pairs), "nearest-home")
-    known = queries.join(first.select(F.col("query_key").alias("key"), "similarity"), "key", "left") \
-        .withColumn("bound", F.coalesce("similarity", F.lit(lowest)))
-    visiting = known.withColumn("cell", F.explode(_visits_of(cells)))
-    away_rows = _per_cell(visiting.select("cell"), count)
-    if not away_rows.any():
-        return first
-    return _best(first.unionByName(_block_join(visiting, placed, away_rows, cells.rows, block, idf)))
+    first = written(home, "nearest-home")
+    known = search.queries.join(first.select(F.col("query_key").alias("key"), "similarity"), "key", "left") \
+        .withColumn("bound", F.coalesce("similarity", lowest))
+    away = search.join(known.withColumn("cell", F.explode(_visits_of(search.cells))))
+    return first if away is None else _best(first.unionByName(away))
+
+
+#: Visits of the first wave of closest_pair, per query, and how many times as many each wave has as the one before.
+FIRST_WAVE, WAVE_GROWTH = 1, 8
+
+
+def closest_pair(queries: DataFrame, base: DataFrame, plan: BlockPlan | None = None,
+                 idf: np.ndarray | None = None) -> DataFrame:
+    """The most similar pair of all, best first: rows as those of nearest_neighbours, all pairs that tie (to six
+    decimals) with the best, one per query.
+
+    The best pair inside the home cells is the floor. Visits to other cells are then made in order of the most they can
+    hold, in growing waves; each raises the floor, and visits below it are never made. When none is left,
+    no pair can be better.
+    """
+    search = _placed(queries, base, plan, idf)
+    home = search and search.join(search.at_home(search.queries).withColumn("bound", F.lit(-1.0)), one=True)
+    if home is None:
+        return _no_pairs(base)
+    found = written(home, "closest-home")
+
+    def best() -> float:
+        return found.agg(F.max("similarity")).first()[0]
+
+    if len(search.cells.pivots) > 1:
+        floor = best()
+        visits = search.queries.withColumn("bound", F.lit(floor)).select("key", F.inline(_possible_of(search.cells)))
+        visits = written(visits, "closest-visits")  # three narrow columns for each cell that can still beat the floor
+        wave, made = max(1, FIRST_WAVE * search.queries.count()), math.inf
+        while True:
+            left = visits.where((F.col("most") < made) & (F.col("most") >= floor - SLACK))
+            many = left.count()
+            if not many:
+                break
+            # visits down to this bound; those that share it all come along
+            cut = floor - 1.0 if many <= wave else left.agg(
+                F.percentile_approx("most", 1 - wave / many, 10_000)).first()[0]
+            now = left.where(F.col("most") >= cut)
+            away = search.join(search.queries.join(now.select("key", "cell"), "key").withColumn("bound", F.lit(floor)), one=True)
+            if away is not None:
+                found = written(found.unionByName(away), "closest-wave")
+                floor = best()
+            made, wave = cut, WAVE_GROWTH * wave
+    return _best(found.where(F.col("similarity") >= best()))

@@ -39,7 +39,8 @@ def leakage_check(table: AuditTable, threshold: float = fixed.DEFAULT_SIMILARITY
         ((flagged == 0) & (c("exact_any_split") > 0),
          _say("%s held-out rows are exact copies of rows in another split.", counted(c("exact_any_split")))),
         (flagged == 0,
-         _say("No held-out row reaches a similarity of %.3f with a training row.", c("threshold"))),
+         _say("No held-out row reaches a similarity of %.3f with a training row; the closest pair has %.3f.",
+              c("threshold"), c("max_similarity"))),
         otherwise=F.concat(
             _say("%s of %s held-out rows (%s) have a near-identical twin in train.",
                  counted(flagged), counted(c("holdout_rows")), percent(c("flagged_share"))),
@@ -70,7 +71,7 @@ def leakage_check(table: AuditTable, threshold: float = fixed.DEFAULT_SIMILARITY
             ("Exact duplicates in train", counted(c("exact_in_train"))),
             ("Similarity threshold used", _say("%.3f", c("threshold"))),
             ("Typical unrelated pair", F.when(c("background").isNotNull(), _say("%.3f", c("background")))),
-            ("Highest flagged similarity", F.when(c("max_similarity").isNotNull(), _say("%.3f", c("max_similarity")))),
+            ("Highest similarity", F.when(c("max_similarity").isNotNull(), _say("%.3f", c("max_similarity")))),
             ("Encoded feature dimensions", c("width")),
             ("Encoded columns", c("encoding")),
             ("Accuracy on full held-out set", F.when(flagged > 0, percent(c("accuracy_all")))),

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from fixtures import two_classes
 from holdfast.functions.columns import key_text, split_name
-from holdfast.operators.duplicates import exact_key, fingerprint
+from holdfast.operators.duplicates import exact_key, fingerprint, row_keys
 from holdfast import audit, audit_manifest, audit_table, clamp_threshold
-from holdfast.operators.encode import column_profile, encode, fit_numeric
-from holdfast.operators.leakage import nearest_train
-from holdfast.operators.nearest import BlockPlan, nearest_neighbours
+from holdfast.operators.encode import EncodedTable, column_profile, encode, fit_numeric
+from holdfast.operators.leakage import closest_pair as closest_contents
+from holdfast.operators.leakage import highest_similarity, nearest_train
+from holdfast.operators.nearest import BlockPlan, closest_pair, nearest_neighbours
 from holdfast.operators.quantiles import exact_quantiles
 from holdfast.sources import (
     load_csv, load_parquet, manifest, manifest_entry, with_row_position, write_dataset,
@@ -82,6 +83,43 @@ def test_nearest_equals_brute_force(spark, kind, floor):
     assert got == _brute(q, b, floor)
 
 
+@pytest.mark.parametrize("kind", ["isotropic", "clustered", "sparse", "far"])
+def test_closest_pair_equals_brute_force(spark, kind):
+    rng = np.random.default_rng(len(kind) + 3)
+    if kind == "sparse":
+        both = (rng.random((200, 300)) < 0.06) * rng.random((200, 300))
+        both[7] = both[150] + 0.02 * both[9]
+    else:
+        both = _clusters(rng, 200, 12) if kind == "clustered" else rng.normal(size=(200, 24))
+    q, b = _unit(both[:50]), _unit(both[50:])
+    if kind == "far":  # no pair is alike, and the best is below zero
+        q, b = _unit(np.abs(q)), -_unit(np.abs(b))
+    none = np.zeros((200, 0))
+    left, right = (_side(spark, "q", none[:50], q), _side(spark, "b", none[:150], b)) if kind == "sparse" \
+        else (_side(spark, "q", q), _side(spark, "b", b))
+    sims = np.round(q @ b.T, 6)
+    for plan in (SMALL, None):
+        got = closest_pair(left, right, plan).collect()
+        assert {(r["query_key"], r["ref"], r["similarity"]) for r in got} == \
+            {(f"q{i}", int(sims[i].argmax()), sims.max()) for i in range(50) if sims[i].max() == sims.max()}
+    assert closest_pair(left, right.limit(0)).count() == 0 and closest_pair(left.limit(0), right).count() == 0
+
+
+def test_highest_similarity_of_rows_without_content(spark):
+    rows = [("train", "a", "words in train"), ("train", "a", None), ("test", "a", "others quite"), ("test", "b", "zzz")]
+    pdf = pd.DataFrame(rows * 30, columns=["split", "label", "note"])
+    pdf["note"] = [f"{n} {i}" if n and n != "zzz" else "" for i, n in enumerate(pdf["note"])]
+    pdf["id"] = range(len(pdf))
+    t = audit_table(spark.createDataFrame(pdf), id="id")
+    coded = encode(t, "test", "id")
+    best = closest_contents(coded).first()
+    assert highest_similarity(coded) == best["similarity"] > 0
+    train_only = EncodedTable(coded.encoding, coded.raw.where("held_rows = 0"))
+    assert highest_similarity(train_only) is None
+    blank = EncodedTable(coded.encoding, coded.raw.where("held_rows = 0 OR blocks = 0").withColumn("blocks", F.lit(0)))
+    assert highest_similarity(blank) == 0.0
+
+
 def test_equal_similarities_go_to_the_smallest_ref(spark):
     b = _unit(np.vstack([np.ones((30, 4)), np.eye(4)]))
     q = _unit(np.ones((5, 4)) * 2)
@@ -238,7 +276,7 @@ def test_rows_of_hot_contents_keep_their_twins(spark):
     twins = nearest_train(encode(t, "test", "id"), None)
 
     def rows(hot):
-        return sorted(map(tuple, nearest_per_row(t, "test", "id", twins, hot).collect()))
+        return sorted(map(tuple, nearest_per_row(row_keys(t, "test", "id"), "test", twins, hot).collect()))
 
     assert rows(3) == rows(1000) and len(rows(3)) == 30
     assert rows(3)[0] == (1, 0, 1.0)

@@ -208,6 +208,14 @@ def test_exact_quantiles(spark, q):
         assert got[c] == pytest.approx(np.quantile(pdf[c], q), rel=1e-12)
 
 
+def test_quantiles_of_a_million_distinct_values(spark):
+    """The bracket is never narrowed to few values (one round of a coarse sketch), and still only two return."""
+    df = spark.range(1_000_003).select(((F.col("id") * 7919) % 1_000_003).cast("double").alias("a"), F.lit(2.5).alias("b"))
+    got = exact_quantiles(df, ["a", "b"], 0.75, few_values=10_000_000)
+    assert got == {"a": 750_001.5, "b": 2.5}
+    assert exact_quantiles(df, ["a"], 0.5, few_values=10, accuracy=50)["a"] == 500_001.0
+
+
 # ------------------------------------------------------------------ sources and sinks
 
 def test_csv_types_and_missing_tokens(spark, tmp_path):

@@ -18,18 +18,16 @@ from holdfast.operators.encode import EncodedTable, Encoding, compared_rows, enc
 from holdfast.operators.nearest import BlockPlan, nearest_neighbours
 from holdfast.operators.nearest import closest_pair as closest_contents
 from holdfast.operators.summary import holdout_choice, one_row
-from holdfast.sources.readers import with_row_position
+from holdfast.sources.csvfile import POSITION
+from holdfast.sources.readers import with_file_position
 from holdfast.storage import written
 from holdfast.table import AuditTable
 
-POSITION = "_row_position"
-
-
 def with_ref(table: AuditTable) -> tuple[AuditTable, str]:
     """The column that names a row: its id, or its position when there is no id."""
-    if table.id:
-        return table, table.id
-    return table.with_df(with_row_position(table.df, POSITION)), POSITION
+    if table.id or table.position:
+        return table, table.id or table.position
+    return table.with_df(with_file_position(table.df, POSITION)), POSITION
 
 
 def display_id(table: AuditTable, value):

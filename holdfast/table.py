@@ -26,6 +26,7 @@ class AuditTable:
     prediction: str | None = None
     group: str | None = None
     features: tuple[str, ...] = ()
+    position: str | None = None     # column with the row's place in its files, if the scan knows it
     warnings: tuple[tuple[str, str], ...] = field(default=())
 
     ROLES = ("split", "label", "id", "prediction", "group")
@@ -91,6 +92,7 @@ def audit_table(
     prediction: str | None = None,
     group: str | None = None,
     ignore: list[str] | str | None = None,
+    position: str | None = None,
     detect: bool = True,
     check_empty: bool = True,
 ) -> AuditTable:
@@ -98,7 +100,7 @@ def audit_table(
 
     Named columns win over detection; ``detect=False`` uses the named ones alone.
     """
-    columns = df.columns
+    columns = [c for c in df.columns if c != position]
     asked = {"split": split, "label": label, "id": id, "prediction": prediction, "group": group}
     warnings: list[tuple[str, str]] = []
     found: dict[str, str | None] = {}
@@ -140,5 +142,5 @@ def audit_table(
 
     return AuditTable(
         df=df.withColumn(found["split"], split_name(df, found["split"])),
-        features=features, warnings=tuple(warnings), **found,
+        features=features, position=position, warnings=tuple(warnings), **found,
     )

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog.bindings import (
-    cust_eval, doc_eval, emb_rows, event_eval, read, run_lines, spelled_eval,
+    DIMS, bound, cust_eval, doc_eval, emb_rows, event_eval, fifth, read, run_lines, spelled_eval,
 )
 from catalog.registry import query, rounded
 from holdfast.operators import prepare, summary, variance
 from holdfast.operators.background import hash_sample
+from holdfast.fixed import CSV_MISSING
 from holdfast.functions.columns import best_class
+from holdfast.sources import load_csv, with_file_position, write_dataset
 from holdfast.sources.manifest import manifest_params
+from holdfast.storage import shared_folder
 
 
 @query("dataset_summary", using="event", sql="""
@@ -67,6 +72,49 @@ def loader_warnings(spark, sf):
     return summary.warnings_of(spelled_eval(spark, sf)).groupBy("code").agg(F.count("*").alias("n"))
 
 
+_TOKENS = ", ".join(f"'{t}'" for t in CSV_MISSING)
+
+
+@query("csv_scan", sql=f"""
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, doc_id, lang, CASE WHEN text NOT IN ({_TOKENS}) THEN length(text) END AS n_chars,
+  CASE WHEN text NOT IN ({_TOKENS}) THEN md5(text) END AS text_md5 FROM documents""")
+def csv_scan(spark, sf):
+    """All documents written as CSV files and read back: quotes, line breaks, missing tokens, file order."""
+    path = f"{shared_folder(spark)}/holdfast-csv-{uuid.uuid4().hex}"
+    docs = read(spark, sf, "documents").select("doc_id", fifth("doc_id"), "lang", "text")
+    write_dataset(docs.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id"), path)
+    t = load_csv(spark, path, id="doc_id", label="lang")
+    return t.df.select(F.col(t.position).alias("position"), "doc_id", "lang", F.length("text").cast("long").alias("n_chars"),
+                       F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("row_positions", sql="""
+SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 16 = 0 THEN 0 WHEN o_orderkey % 16 < 4 THEN 1 ELSE 2 END, o_orderkey) - 1 AS row_position
+FROM orders""")
+def row_positions(spark, sf):
+    """Orders in three folders of very different sizes, numbered in the order of their files."""
+    path = f"{shared_folder(spark)}/holdfast-orders-{uuid.uuid4().hex}"
+    orders, rest = read(spark, sf, "orders").select("o_orderkey", "o_totalprice"), F.col("o_orderkey") % 16
+    for name, some in (("a", rest == 0), ("b", (rest > 0) & (rest < 4)), ("c", rest >= 4)):
+        orders.where(some).repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(f"{path}/{name}")
+    rows = with_file_position(spark.read.parquet(*[f"{path}/{name}" for name in "cab"]))
+    return rows.select("o_orderkey", "row_position")
+
+
+@query("dataset_summary_many", sql="""
+WITH s AS (SELECT 'p' || CAST(l_partkey AS VARCHAR) AS split, count(*) AS n FROM lineitem GROUP BY 1),
+t AS (SELECT split, n, row_number() OVER (ORDER BY n DESC, split) AS place FROM s)
+SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) FILTER (WHERE place > 1000) AS other_splits,
+  CAST(coalesce(sum(n) FILTER (WHERE place > 1000), 0) AS BIGINT) AS other_rows,
+  string_agg(split || ':' || CAST(n AS VARCHAR), ',' ORDER BY split) FILTER (WHERE place <= 1000) AS splits FROM t""")
+def dataset_summary_many(spark, sf):
+    """Thousands of split values: the largest by name, the others as a count."""
+    t = bound(read(spark, sf, "lineitem").select(
+        F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("split"), F.col("l_returnflag").alias("label"), "l_quantity"))
+    pairs = F.transform(F.map_entries("splits"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+    return summary.dataset_summary(t).select("n_rows", "other_splits", "other_rows", F.array_join(pairs, ",").alias("splits"))
+
+
 @query("hash_sample", using="event", sql="""
 SELECT id, label FROM event ORDER BY md5(CAST(id AS VARCHAR)), id LIMIT 100""")
 def hash_sample_query(spark, sf):
@@ -189,6 +237,29 @@ def pca_projection(spark, sf):
     return out
 
 
+_CENTRED = """c AS (SELECT id, unnest(v) AS x, unnest(range(1, 65)) AS j FROM emb),
+z AS (SELECT id, x - avg(x) OVER (PARTITION BY j) AS z FROM c)"""
+
+
+@query("pca_row_norms", using="emb", sql=f"""
+WITH {_CENTRED} SELECT id, round(sum(z * z), 6) AS norm FROM z GROUP BY id""")
+def pca_row_norms(spark, sf):
+    """On all 64 components every row is as long as it was: the projection is a rotation of the centred rows."""
+    out, _ = prepare.pca_projection(emb_rows(spark, sf).select("id", "embedding"), "embedding", k=DIMS, decimals=None)
+    squares = [F.col(f"f{j:02d}") * F.col(f"f{j:02d}") for j in range(DIMS)]
+    return rounded(out.select("id", sum(squares[1:], squares[0]).alias("norm")), "norm")
+
+
+@query("pca_total_variance", using="emb", sql=f"""
+WITH {_CENTRED} SELECT 64 AS components, round(sum(z * z) / (SELECT count(*) FROM emb), 6) AS variance, 1.0::DOUBLE AS kept FROM z""")
+def pca_total_variance(spark, sf):
+    """All components together have the variance of the rows, and keep all of it."""
+    out, kept = prepare.pca_projection(emb_rows(spark, sf).select("id", "embedding"), "embedding", k=DIMS, decimals=None)
+    spread = [F.var_pop(f"f{j:02d}") for j in range(DIMS)]
+    return rounded(out.agg(sum(spread[1:], spread[0]).alias("variance")), "variance").select(
+        F.lit(DIMS).alias("components"), "variance", F.lit(round(kept, 6)).alias("kept"))
+
+
 @query("pca_variance_kept")
 def pca_variance_kept(spark, sf):
     _, kept = prepare.pca_projection(emb_rows(spark, sf).select("id", "embedding"), "embedding", k=16)

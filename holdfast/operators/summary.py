@@ -63,19 +63,28 @@ def unknown_splits(table: AuditTable) -> DataFrame:
     return table.keys("split").where(~s.isin(*KNOWN, fixed.UNLABELLED)).distinct().orderBy("split")
 
 
+#: Splits that a summary names; a table with more of them has mistaken another column for the split.
+SPLITS_NAMED = 1000
+
+
 def dataset_summary(table: AuditTable) -> DataFrame:
-    """One row: size, rows per split, classes (missing is no class here), and the roles."""
+    """One row: size, rows per split, classes (missing is no class here), and the roles.
+
+    The largest splits are named (by name on ties); how many others there are, and their rows, are counts.
+    """
     df = table.df.select(F.col(f"`{table.split}`").alias("split"), F.col(f"`{table.label}`").alias("label"))
     per_pair = df.groupBy("split", "label").agg(F.count("*").alias("n"))
-    splits = (
-        per_pair.groupBy("split").agg(F.sum("n").alias("n"))
-        .agg(F.sum("n").alias("n_rows"),
-             F.map_from_entries(F.array_sort(F.collect_list(F.struct("split", "n")))).alias("splits"))
-    )
+    per_split = per_pair.groupBy("split").agg(F.sum("n").alias("n"))
+    rows, known = per_split.agg(F.sum("n")).scalar(), per_split.agg(F.count("*")).scalar()
+    largest = per_split.orderBy(F.desc("n"), "split").limit(SPLITS_NAMED) \
+        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("split", "n")))).alias("splits"),
+             F.sum("n").alias("_rows"), F.count("*").alias("_named"))
     classes = per_pair.select("label").where(F.col("label").isNotNull()).distinct() \
         .agg(F.count("*").alias("n_classes"))
-    return splits.select(
-        "n_rows", "splits", classes.scalar().alias("n_classes"),
+    return largest.select(
+        rows.alias("n_rows"), "splits", (known - F.col("_named")).alias("other_splits"),
+        (F.coalesce(rows, F.lit(0)) - F.coalesce("_rows", F.lit(0))).alias("other_rows"),
+        classes.scalar().alias("n_classes"),
         F.lit(len(table.features)).cast("bigint").alias("n_features"),
         F.lit(table.prediction is not None).alias("has_predictions"),
         F.lit(table.group is not None).alias("has_groups"),

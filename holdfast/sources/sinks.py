@@ -15,9 +15,11 @@ def write_report(report, folder: str, mode: str = "errorifexists") -> None:
 
 
 def write_dataset(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorifexists") -> None:
+    """Every CSV field is quoted, so that blanks at its ends, quotes and line breaks come back as they are."""
     writer = df.write.mode(mode)
     if fmt == "csv":
-        writer.option("header", True).option("escape", '"').csv(path)
+        writer.options(header=True, escape='"', quoteAll=True, emptyValue="",
+                       ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     else:
         writer.format(fmt).save(path)
 

@@ -290,6 +290,29 @@ def test_rows_of_hot_contents_keep_their_twins(spark):
     assert rows(3)[0] == (1, 0, 1.0)
 
 
+def test_summary_of_a_hundred_thousand_splits(spark):
+    from holdfast.operators.summary import dataset_summary
+
+    df = spark.range(200_000).select(
+        F.when(F.col("id") < 70_000, "train").otherwise(F.concat(F.lit("s"), F.col("id") % 100_000)).alias("split"), F.lit("a").alias("label"))
+    r = dataset_summary(audit_table(df)).first()
+    assert r["n_rows"] == 200_000 and len(r["splits"]) == 1000 and r["splits"]["train"] == 70_000
+    assert r["other_splits"] == 100_001 - 1000 and r["other_rows"] == 200_000 - sum(r["splits"].values())
+
+
+def test_projection_matches_numpy(spark):
+    from holdfast.operators.prepare import pca_projection
+
+    x = np.random.default_rng(8).normal(size=(120, 6)) @ np.diag([5, 4, 3, 2, 1, 0.5])
+    out, kept = pca_projection(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>"), "v", k=3)
+    z = x - x.mean(axis=0)
+    u, s, v = np.linalg.svd(z, full_matrices=False)
+    got = np.array([list(r)[1:] for r in out.orderBy("id").collect()])
+    for j in range(3):
+        assert min(np.abs(got[:, j] - z @ v[j]).max(), np.abs(got[:, j] + z @ v[j]).max()) < 6e-5
+    assert kept == pytest.approx((s[:3] ** 2).sum() / (s ** 2).sum())
+
+
 def test_skewed_keys_give_the_same_counts(spark):
     """A third of the rows share one id, one group and one content."""
     n = 3000

@@ -19,7 +19,7 @@ from holdfast import fixed
 from holdfast.functions.columns import parsed_number, parsed_number_sql
 from holdfast.operators.duplicates import exact_key
 from holdfast.operators.ngrams import (
-    document_frequency, idf_weights, term_counter, tfidf_weigher, vocabulary,
+    WHITE_SPACE, document_frequency, idf_weights, term_counter, tfidf_weigher, vocabulary,
 )
 from holdfast.operators.quantiles import exact_quantiles
 from holdfast.storage import written
@@ -119,7 +119,7 @@ class Encoding:
             (numbers if self.numeric else F.array().cast("array<double>")).alias("_z"),
             (F.concat(*[self.one_hot(c, levels) for c, levels in self.categorical])
              if self.categorical else F.array().cast("array<double>")).alias("_hot"),
-            (term_counter(self.terms)(F.lower(self.joined_text()))
+            (term_counter(self.terms)(F.split(F.lower(self.joined_text()), WHITE_SPACE))
              if self.terms else F.struct(empty_ints.alias("terms"), empty_ints.alias("counts"))).alias("_t"),
         )
         norm = F.sqrt(F.aggregate("_z", F.lit(0.0), lambda s, x: s + x * x))

@@ -7,10 +7,9 @@ batch goes in, (term, count) arrays come out, and nothing is exploded or shuffle
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,42 +53,100 @@ def vocabulary(rows: DataFrame, text: Column, size: int = fixed.MAX_VOCABULARY)
     return totals.where(power >= least).orderBy(F.desc("total"), "term").limit(size)
 
 
+class GramIndex:
+    """The vocabulary by gram size: sorted 64-bit codes of the grams, their characters, and their numbers."""
+
+    def __init__(self, terms: list[str], sizes=fixed.NGRAM_SIZES):
+        rng = np.random.default_rng(len(terms))
+        self.size, self.tables = len(terms), {}
+        lengths = np.array([len(t) for t in terms], np.int64)
+        for k in sizes:
+            number = np.flatnonzero(lengths == k)
+            points = _code_points("".join(terms[i] for i in number)).reshape(-1, k)
+            while True:  # until no two grams share a code
+                factors = rng.integers(1, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+                codes = (points.astype(np.uint64) * factors).sum(axis=1, dtype=np.uint64)
+                order = np.argsort(codes)
+                if (codes[order][1:] != codes[order][:-1]).all():
+                    break
+            self.tables[k] = factors, codes[order], points[order], number[order]
+
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Per word with a blank on either side its grams in the vocabulary: offsets, and term numbers."""
+        blank = pa.scalar(" ", words.type)
+        padded = pc.binary_join_element_wise(blank, words, blank, pa.scalar("", words.type))
+        lengths = pc.utf8_length(padded).to_numpy(zero_copy_only=False).astype(np.int64)
+        points = _code_points("".join(padded.to_pylist()))
+        ends = np.repeat(np.cumsum(lengths), lengths)
+        word = np.repeat(np.arange(len(lengths)), lengths)
+        owners, found = [], []
+        for k, (factors, codes, grams, number) in self.tables.items():
+            if not len(codes):
+                continue
+            at = np.flatnonzero(np.arange(len(points)) + k <= ends)
+            code = np.zeros(len(at), np.uint64)
+            for j in range(k):
+                code += points[at + j].astype(np.uint64) * factors[j]
+            place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+            hit = np.flatnonzero(codes[place] == code)
+            at, place = at[hit], place[hit]
+            same = np.ones(len(at), bool)
+            for j in range(k):
+                same &= points[at + j] == grams[place, j]
+            owners.append(word[at[same]])
+            found.append(number[place[same]])
+        if not owners:
+            return np.zeros(len(lengths) + 1, np.int64), np.empty(0, np.int64)
+        owner, term = np.concatenate(owners), np.concatenate(found)
+        order = np.argsort(owner, kind="stable")
+        return np.searchsorted(owner[order], np.arange(len(lengths) + 1)), term[order]
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _row_terms(index: GramIndex, offsets: np.ndarray, word: np.ndarray, grams: tuple[np.ndarray, np.ndarray],
+               cells: int = 2_000_000):
+    """Rows given as word numbers, to their terms and counts, some rows at a time: (terms per row, terms, counts)."""
+    starts, flat = grams
+    many = np.diff(starts)
+    step = max(1, cells // max(index.size, 1))
+    for lo in range(0, len(offsets) - 1, step):
+        at = offsets[lo:lo + step + 1]
+        rows = len(at) - 1
+        row = np.repeat(np.arange(rows), np.diff(at))
+        pair, times = np.unique(row * len(many) + word[at[0]:at[-1]], return_counts=True)
+        row, own = np.divmod(pair, max(len(many), 1))
+        reps = many[own]
+        first = np.repeat(starts[own] - np.r_[0, np.cumsum(reps)[:-1]], reps) if len(own) else np.empty(0, np.int64)
+        term = flat[first + np.arange(len(first))]
+        seen = np.bincount(np.repeat(row, reps) * index.size + term, weights=np.repeat(times, reps),
+                           minlength=rows * index.size)
+        cell = np.flatnonzero(seen)
+        yield np.bincount(cell // max(index.size, 1), minlength=rows), cell % max(index.size, 1), seen[cell]
+
+
 def term_counter(terms: list[str]):
-    """UDF: lower-cased text -> terms found and how often. ``terms`` is the vocabulary."""
-    sizes = fixed.NGRAM_SIZES
+    """UDF: lower-cased words of a text -> terms found and how often. ``terms`` is the vocabulary.
+
+    Every distinct word of a batch is cut once, all words side by side.
+    """
+    built: list[GramIndex] = []
 
     @F.arrow_udf("struct<terms:array<int>,counts:array<int>>")
-    def counter(text: pa.Array) -> pa.Array:
-        number = {t: i for i, t in enumerate(terms)}
-        seen: dict[str, np.ndarray] = {}  # words repeat a lot within a batch
-        offsets, ids, counts = [0], [], []
-        for cell in text.to_pylist():
-            parts = []
-            for word, n in Counter((cell or "").split()).items():
-                hits = seen.get(word)
-                if hits is None:
-                    padded = f" {word} "
-                    hits = seen[word] = np.array([
-                        number[g]
-                        for k in sizes for at in range(len(padded) - k + 1)
-                        if (g := padded[at:at + k]) in number
-                    ], dtype=np.int64)
-                parts.append((hits, n))
-            if parts:
-                flat = np.concatenate([h for h, _ in parts])
-                times = np.repeat([n for _, n in parts], [len(h) for h, _ in parts])
-                found, where = np.unique(flat, return_inverse=True)
-                ids.append(found)
-                counts.append(np.bincount(where, weights=times, minlength=len(found)).astype(np.int64))
-                offsets.append(offsets[-1] + len(found))
-            else:
-                offsets.append(offsets[-1])
-
-        def ragged(chunks):
-            flat = np.concatenate(chunks) if chunks else np.empty(0, np.int64)
-            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-
-        return pa.StructArray.from_arrays([ragged(ids), ragged(counts)], ["terms", "counts"])
+    def counter(words: pa.Array) -> pa.Array:
+        if not built:
+            built.append(GramIndex(terms))
+        offsets = words.offsets.to_numpy()
+        known = words.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        grams = built[0].of_words(known.dictionary)
+        number = known.indices.to_numpy(zero_copy_only=False)
+        parts = list(_row_terms(built[0], offsets - offsets[0], number, grams))
+        ends, ids, counts = (np.concatenate(p) if parts else np.empty(0, np.int64) for p in (zip(*parts) if parts else ((),) * 3))
+        at = pa.array(np.r_[0, np.cumsum(ends)], pa.int32())
+        return pa.StructArray.from_arrays(
+            [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (ids, counts)], ["terms", "counts"])
 
     return counter
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.bindings import (
-    DIMS, cust_eval, doc_eval, emb_eval, emb_leaky, emb_wide, line_eval, part_eval,
+    DIMS, bound, cust_eval, doc_eval, emb_eval, emb_leaky, emb_wide, line_eval, part_eval,
 )
 from catalog.check_queries import _BASELINE, _ISSUES, stacked
 from catalog.registry import named, query, rounded
@@ -274,6 +274,18 @@ def nearest_cells_text(spark, sf):
     return _per_row(t, _twins(t, 0.95, CELLS)[0])
 
 
+@query("near_dup_names", using="part", sql=f"""
+WITH {_PART_TEXT}, sims AS MATERIALIZED (SELECT a.id AS h, b.id AS t, round(sum(a.w * b.w), 6) AS s
+  FROM (SELECT u.* FROM unit u JOIN part_rows USING (id) WHERE split = 'test') a
+  JOIN (SELECT u.* FROM unit u JOIN part_rows USING (id) WHERE split = 'train') b USING (term) GROUP BY a.id, b.id), {NEAREST}
+{_ROWS} WHERE s >= 0.7""")
+def near_dup_names(spark, sf):
+    """Short texts: parts whose names are all but the same; the search picks its plan by the size of the index."""
+    t = part_eval(spark, sf)
+    t = bound(t.df.select("id", "split", "label", "name"))
+    return _per_row(t, _twins(t, 0.7)[0])
+
+
 @query("near_dup_rows", using="doc", sql=f"WITH {DOC_SIMS}, {NEAREST} {_ROWS} WHERE s >= 0.95")
 def near_dup_rows(spark, sf):
     """Every hold-out document with a train twin at or above the threshold."""

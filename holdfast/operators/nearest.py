@@ -14,6 +14,9 @@ more than one block of each side and pairs are never written out:
 4. Cells are cut into blocks by row hash, so a hot cell is spread over many tasks. A
    block pair is one matrix product; only the best base row per query leaves it.
 
+Short sparse rows under a floor go through an inverted index of their rarest terms instead, where a count of its
+postings says that this is cheaper (see prefixes).
+
 Long sparse rows (text n-grams) are first compared by a short sketch: the norm of the
 row within each of ``SKETCH_WIDTH`` term buckets. By Cauchy-Schwarz the product of two
 sketches is never below the true cosine, so it can rule pairs and cells out; survivors
@@ -57,6 +60,8 @@ class BlockPlan:
         return int(min(self.max_pivots, fits, math.isqrt(rows)))
 
     least_block_rows: int = 256
+    # The prefix index is taken when its postings meet in at most this share of all pairs.
+    index_share: float = 0.02
 
     def block_rows(self, row_bytes: float, rows: int, cores: int) -> int:
         """Rows per block: as many as fit, fewer when that leaves cores without work."""
@@ -438,6 +443,13 @@ def nearest_neighbours(queries: DataFrame, base: DataFrame, floor: float | None
 
     With ``idf``, ``weights`` holds term counts and ``scale`` the norm of the sparse part.
     """
+    plan = plan or BlockPlan()
+    if floor is not None and plan.index_share > 0:
+        from holdfast.operators.prefixes import indexed_neighbours
+
+        found = indexed_neighbours(queries, base, floor, plan.index_share, idf)
+        if found is not None:
+            return _best(found)
     search = _placed(queries, base, plan, idf)
     if search is None:
         return _no_pairs(base)

@@ -120,6 +120,38 @@ def test_highest_similarity_of_rows_without_content(spark):
     assert highest_similarity(blank) == 0.0
 
 
+@pytest.mark.parametrize("dense", [False, True])
+def test_prefix_index_equals_brute_force(spark, dense):
+    """Counts of terms weighed by idf; every search by the index finds what all pairs show."""
+    rng = np.random.default_rng(21)
+    n, width, floor = 160, 400, 0.9
+    tf = rng.poisson((rng.random((n, 1)) * 30) / np.arange(1, width + 1) ** 0.7)
+    tf[:, 0] += 1
+    tf[60:100] = tf[:40]
+    tf[60:100, 100:110] += rng.integers(0, 2, (40, 10))  # near copies on the other side
+    idf = np.log((1 + n) / (1 + (tf > 0).sum(axis=0))) + 1
+    w = _unit(tf * idf) * (np.sqrt(0.5) if dense else 1)
+    numbers = _unit(1 + 0.3 * rng.normal(size=(n, 4))) * np.sqrt(0.5) if dense else np.zeros((n, 0))
+    full = np.hstack([numbers, w])
+
+    def side(prefix, lo, hi):
+        rows = [(f"{prefix}{i}", i, numbers[lo + i].tolist(), np.flatnonzero(tf[lo + i]).tolist(),
+                 tf[lo + i][tf[lo + i] > 0].tolist(), float(np.sqrt(0.5)) if dense else 1.0) for i in range(hi - lo)]
+        return spark.createDataFrame(rows, "key string, ref int, dense array<double>, terms array<int>, weights array<int>, scale double").repartition(3)
+
+    q, b = side("q", 0, 60), side("b", 60, n)
+    want = _brute(full[:60], full[60:], floor)
+    assert len(want) > 30
+    for share in (0.0, float("inf")):
+        plan = BlockPlan(one_cell_rows=8, max_pivots=6, index_share=share)
+        got = {r["query_key"]: (r["ref"], r["similarity"]) for r in nearest_neighbours(q, b, floor, plan, idf).collect()}
+        assert got == want
+    from holdfast.operators import prefixes
+
+    assert prefixes.indexed_neighbours(q, b, 0.5 if dense else 1e-6, float("inf"), idf) is None or not dense
+    assert prefixes.indexed_neighbours(q, b, floor, 0.0, idf) is None
+
+
 def test_equal_similarities_go_to_the_smallest_ref(spark):
     b = _unit(np.vstack([np.ones((30, 4)), np.eye(4)]))
     q = _unit(np.ones((5, 4)) * 2)

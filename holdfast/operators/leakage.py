@@ -15,6 +15,7 @@ from holdfast.operators.background import (
 )
 from holdfast.operators.duplicates import exact_duplicates, row_keys
 from holdfast.operators.encode import EncodedTable, Encoding, compared_rows, encode, fit
+from holdfast.operators.joins import JoinPlan, lookup
 from holdfast.operators.nearest import BlockPlan, nearest_neighbours
 from holdfast.operators.nearest import closest_pair as closest_contents
 from holdfast.operators.summary import holdout_choice, one_row
@@ -78,22 +79,11 @@ def highest_similarity(coded: EncodedTable, plan: BlockPlan | None = None) -> fl
     return max([s for s in (best and best["similarity"], 0.0 if empty else None) if s is not None])
 
 
-HOT_COPIES = 1_000_000
-
-
-def nearest_per_row(keys: DataFrame, holdout: str, twins: DataFrame, hot_copies: int = HOT_COPIES) -> DataFrame:
-    """The result spread over every hold-out row of ``keys``: holdout_id, train_id, similarity.
-
-    Contents with very many copies are few (at most one per ``hot_copies`` rows): they
-    are broadcast, so their rows stay where they are; the rest meet by key.
-    """
+def nearest_per_row(keys: DataFrame, holdout: str, twins: DataFrame, plan: JoinPlan | None = None) -> DataFrame:
+    """The result spread over every hold-out row of ``keys``: holdout_id, train_id, similarity."""
     rows = keys.where(F.col("split") == holdout).select(F.col("ref").alias("holdout_id"), F.col("key").alias("query_key"))
-    found = twins.select("query_key", "train_ref", "similarity", "held_rows")
-    hot = found.where(F.col("held_rows") > hot_copies)
-    usual = found.where(F.col("held_rows") <= hot_copies)
-    many = rows.join(F.broadcast(hot), "query_key")
-    single = rows.join(F.broadcast(hot.select("query_key")), "query_key", "left_anti").join(usual, "query_key")
-    return many.unionByName(single).select("holdout_id", F.col("train_ref").alias("train_id"), "similarity")
+    found = twins.select("query_key", F.col("train_ref").alias("train_id"), "similarity")
+    return lookup(rows, found, "query_key", plan).select("holdout_id", "train_id", "similarity")
 
 
 def near_duplicate_pairs(table: AuditTable, holdout: str, keys: DataFrame, twins: DataFrame,

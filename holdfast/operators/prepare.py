@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast import fixed
+from holdfast.operators.joins import JoinPlan, lookup
 
 
-def eligible_rows(rows: DataFrame, classes: list[str], label: str, splits: DataFrame, key: str) -> DataFrame:
+def eligible_rows(rows: DataFrame, classes: list[str], label: str, splits: DataFrame, key: str,
+                  plan: JoinPlan | None = None) -> DataFrame:
     """Rows of the task's classes whose key is in the (key, split) map, with the split."""
-    return rows.where(F.col(label).isin(classes)).join(splits, key)
+    return lookup(rows.where(F.col(label).isin(classes)), splits, key, plan)
 
 
 def stratified_split(rows: DataFrame, label: str, order: str, train_share: float = 0.6) -> DataFrame:

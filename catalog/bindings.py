@@ -38,6 +38,11 @@ def emb_eval(spark, sf) -> AuditTable:
     return bound(widen(emb_rows(spark, sf), "embedding", DIMS))
 
 
+def emb_vector(spark, sf) -> AuditTable:
+    """emb_eval with the embedding as one column."""
+    return bound(emb_rows(spark, sf))
+
+
 def emb_leaky(spark, sf) -> AuditTable:
     """emb_eval, and train rows once more in test with every dimension slightly stretched."""
     rows = emb_rows(spark, sf)

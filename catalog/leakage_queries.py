@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.bindings import (
-    DIMS, bound, cust_eval, doc_eval, emb_eval, emb_leaky, emb_wide, line_eval, part_eval,
+    DIMS, bound, cust_eval, doc_eval, emb_eval, emb_leaky, emb_vector, emb_wide, line_eval, part_eval,
 )
 from catalog.check_queries import _BASELINE, _ISSUES, stacked
 from catalog.registry import named, query, rounded
@@ -247,6 +247,20 @@ def nearest_train(spark, sf):
     return _per_row(t, _twins(t, None)[0])
 
 
+@query("nearest_train_vector", using="emb", sql=f"WITH {EMB_SIMS}, {NEAREST} {_ROWS}")
+def nearest_train_vector(spark, sf):
+    """nearest_train over one column of vectors instead of 64 columns."""
+    t = emb_vector(spark, sf)
+    return _per_row(t, _twins(t, None)[0])
+
+
+@query("vector_profile", using="emb", sql="""
+SELECT 'embedding' AS "column", 'vector' AS kind, count(v) / count(*) AS parsed_share, CAST(NULL AS BIGINT) AS levels FROM emb""")
+def vector_profile(spark, sf):
+    t = emb_vector(spark, sf)
+    return encode.column_profile(t.df, t.features)
+
+
 @query("nearest_train_text", using="doc", sql=f"WITH {DOC_SIMS}, {NEAREST} {_ROWS}")
 def nearest_train_text(spark, sf):
     t = doc_eval(spark, sf)

@@ -19,6 +19,10 @@ def _digest(parts: list[str]) -> Column:
     return F.expr(f"sha2(to_json(array({', '.join(parts)})), 256)")
 
 
+def is_vector(kind: T.DataType) -> bool:
+    return isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType)
+
+
 _SPACE = "'" + "".join(f"\\u{ord(c):04x}" for c in fixed.WHITE_SPACE) + "'"
 
 
@@ -33,6 +37,9 @@ def fingerprint(df: DataFrame, features, decimals: int = fixed.FINGERPRINT_DECIM
     def part(name: str) -> str:
         if isinstance(df.schema[name].dataType, _FLOATS):
             return f"CAST(bround(nullif(CAST({_quoted(name)} AS DOUBLE), double('NaN')), {decimals}) + 0D AS STRING)"
+        if is_vector(df.schema[name].dataType):
+            each = f"bround(nullif(CAST(x AS DOUBLE), double('NaN')), {decimals}) + 0D"
+            return f"CAST(transform({_quoted(name)}, x -> {each}) AS STRING)"
         return f"trim(BOTH {_SPACE} FROM CAST({_quoted(name)} AS STRING))"
 
     return _digest([part(c) for c in features])
@@ -42,6 +49,8 @@ def exact_key(df: DataFrame, features) -> Column:
     """Key of the unrounded feature values: equal keys encode to equal vectors."""
     def part(name: str) -> str:
         text = f"CAST({_quoted(name)} AS STRING)"
+        if is_vector(df.schema[name].dataType):
+            return f"CAST(transform({_quoted(name)}, x -> nullif(CAST(x AS DOUBLE), double('NaN'))) AS STRING)"
         return f"nullif({text}, 'NaN')" if isinstance(df.schema[name].dataType, _FLOATS) else text
 
     return _digest([part(c) for c in features])

@@ -1,6 +1,6 @@
 """Feature columns to unit vectors, so that a dot product is a cosine.
 
-Numbers are standardised, categories one-hot, text n-gram weighted; each block is
+Numbers are standardised (columns of numbers and columns of vectors alike, dimension by dimension), categories one-hot, text n-gram weighted; each block is
 scaled to norm 1 (a zero block stays zero), and the whole row again. What has to be
 learned (levels, medians, means, vocabulary, idf) is small and bounded; applying it is
 a map over rows.
@@ -8,16 +8,17 @@ a map over rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast import fixed
 from holdfast.functions.columns import parsed_number, parsed_number_sql
-from holdfast.operators.duplicates import exact_key
+from holdfast.operators.duplicates import exact_key, is_vector
 from holdfast.operators.ngrams import (
     WHITE_SPACE, document_frequency, idf_weights, term_counter, tfidf_weigher, vocabulary,
 )
@@ -25,7 +26,7 @@ from holdfast.operators.quantiles import exact_quantiles
 from holdfast.storage import written
 from holdfast.table import AuditTable
 
-NUMERIC, CATEGORICAL, TEXT = "numeric", "categorical", "text"
+NUMERIC, VECTOR, CATEGORICAL, TEXT = "numeric", "vector", "categorical", "text"
 _NUMBERS = (T.NumericType,)
 
 
@@ -42,15 +43,18 @@ def column_profile(df: DataFrame, features) -> DataFrame:
     """
     spark = df.sparkSession
     probes = [F.count("*").alias("rows")]
+    vectors = {c for c in features if is_vector(df.schema[c].dataType)}
     for i, c in enumerate(features):
-        probes.append(F.expr(f"count({parsed_number_sql(df, c)}) AS p{i}"))
-        if not isinstance(df.schema[c].dataType, _NUMBERS):
+        probes.append(F.count(F.col(f"`{c}`")).alias(f"p{i}") if c in vectors else F.expr(f"count({parsed_number_sql(df, c)}) AS p{i}"))
+        if c not in vectors and not isinstance(df.schema[c].dataType, _NUMBERS):
             probes.append(F.approx_count_distinct(F.col(f"`{c}`"), 0.02).alias(f"d{i}"))
     seen = df.agg(*probes).first()
     rows = max(seen["rows"], 1)
     kinds, unsure = {}, []
     for i, c in enumerate(features):
-        if isinstance(df.schema[c].dataType, _NUMBERS) or seen[f"p{i}"] / rows > fixed.NUMERIC_PARSE_SHARE:
+        if c in vectors:
+            kinds[c] = VECTOR
+        elif isinstance(df.schema[c].dataType, _NUMBERS) or seen[f"p{i}"] / rows > fixed.NUMERIC_PARSE_SHARE:
             kinds[c] = NUMERIC
         elif seen[f"d{i}"] > 4 * fixed.MAX_CATEGORY_LEVELS:
             kinds[c] = TEXT
@@ -85,14 +89,15 @@ class Encoding:
     terms: list[str] = field(default_factory=list)
     rows: int = 0
     idf: np.ndarray | None = None
+    vectors: list[tuple[str, np.ndarray]] = field(default_factory=list)  # name, rows of fill, mean, sd
 
     @property
     def width(self) -> int:
-        return len(self.numeric) + sum(len(v) for _, v in self.categorical) + len(self.terms)
+        return len(self.numeric) + sum(v.shape[1] for _, v in self.vectors) + sum(len(v) for _, v in self.categorical) + len(self.terms)
 
     @property
     def description(self) -> str:
-        parts = [(len(self.numeric), NUMERIC), (len(self.categorical), CATEGORICAL), (len(self.text), TEXT)]
+        parts = [(len(self.numeric), NUMERIC), (len(self.vectors), VECTOR), (len(self.categorical), CATEGORICAL), (len(self.text), TEXT)]
         return ", ".join(f"{n} {kind}" for n, kind in parts if n) or "no usable features"
 
     # -------------------------------------------------------------- row-local columns
@@ -113,10 +118,11 @@ class Encoding:
     def apply(self, df: DataFrame, keep: list[str]) -> DataFrame:
         """The kept columns and the row's blocks: dense, terms, counts, blocks."""
         empty_ints = F.array().cast("array<int>")
-        numbers = F.array(*self.standardised(df).values()).cast("array<double>") if self.numeric else None
+        numbers = [F.array(*self.standardised(df).values()).cast("array<double>")] if self.numeric else []
+        numbers += [vector_standardiser(*learned)(F.col(f"`{c}`").cast("array<double>")) for c, learned in self.vectors]
         df = df.select(
             *keep,
-            (numbers if self.numeric else F.array().cast("array<double>")).alias("_z"),
+            (F.concat(*numbers) if numbers else F.array().cast("array<double>")).alias("_z"),
             (F.concat(*[self.one_hot(c, levels) for c, levels in self.categorical])
              if self.categorical else F.array().cast("array<double>")).alias("_hot"),
             (term_counter(self.terms)(F.split(F.lower(self.joined_text()), WHITE_SPACE))
@@ -174,12 +180,60 @@ def fit_numeric(df: DataFrame, columns: list[str],
     return [learned(c) for c in columns]
 
 
+def vector_standardiser(fill: np.ndarray, mean: np.ndarray, sd: np.ndarray):
+    """UDF: a vector with its gaps filled, standardised. Null and short vectors are gaps, null and NaN entries too."""
+
+    @F.arrow_udf("array<double>")
+    def standardise(vectors: pa.Array) -> pa.Array:
+        offsets = vectors.offsets.to_numpy()
+        flat = vectors.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]]
+        sizes = np.diff(offsets)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(flat)) - np.repeat(offsets[:-1] - offsets[0], sizes)
+        known = (place < len(mean)) & ~np.isnan(flat)
+        out = np.tile(fill, (len(sizes), 1))
+        out[row[known], place[known]] = flat[known]
+        at = np.arange(len(sizes) + 1) * len(mean)
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(((out - mean) / sd).ravel()))
+
+    return standardise
+
+
+def fit_vectors(df: DataFrame, columns: list[str]) -> list[tuple[str, np.ndarray]]:
+    """Per vector column, dimension by dimension, what fit_numeric learns per column: rows of fill, mean and sd.
+
+    One aggregate over (column, dimension), folded on the map side. Medians are looked for only in dimensions with gaps.
+    """
+    if not columns:
+        return []
+    cells = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("array<double>").alias("v")) for i, c in enumerate(columns)])))
+    each = cells.select("i", F.posexplode("v").alias("j", "x")).withColumn("x", F.expr("nullif(x, double('NaN'))"))
+    seen = each.groupBy("i", "j").agg(
+        F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"), F.min("x").alias("least"), F.max("x").alias("most")).collect()
+    rows, out = df.count(), []
+    for i, c in enumerate(columns):
+        own = sorted((r for r in seen if r["i"] == i), key=lambda r: r["j"])
+        gaps = [r["j"] for r in own if r["n"] < rows]
+        holed = df.select(*[F.expr(f"nullif(CAST(get(`{c}`, {j}) AS DOUBLE), double('NaN'))").alias(f"d{j}") for j in gaps])
+        medians = exact_quantiles(holed, [f"d{j}" for j in gaps], 0.5) if gaps else {}
+        fill = np.array([medians.get(f"d{r['j']}") or 0.0 for r in own])
+        n = np.array([r["n"] for r in own], float)
+        mean, var = (np.array([r[f] or 0.0 for r in own]) for f in ("mean", "var"))
+        whole = (n * mean + (rows - n) * fill) / rows
+        spread = var * n / rows + n * (rows - n) / rows ** 2 * (mean - fill) ** 2
+        flat = [r["least"] == r["most"] and (r["n"] == rows or r["least"] == f) for r, f in zip(own, fill)]
+        sd = np.sqrt(spread)
+        out.append((c, np.array([fill, whole, np.where(np.array(flat, bool) | (sd == 0), 1.0, sd)])))
+    return out
+
+
 def fit(df: DataFrame, features) -> Encoding:
     """Learn the encoding from the rows to compare (all but the idf, see ``encode``)."""
     profile = column_profile(df, features).collect()
     kinds = {r["column"]: r["kind"] for r in profile}
     holed = [r["column"] for r in profile if r["kind"] == NUMERIC and r["parsed_share"] < 1]
-    named = {k: [c for c in features if kinds[c] == k] for k in (NUMERIC, CATEGORICAL, TEXT)}
+    named = {k: [c for c in features if kinds[c] == k] for k in (NUMERIC, VECTOR, CATEGORICAL, TEXT)}
     levels: dict[str, set[str]] = {c: set() for c in named[CATEGORICAL]}
     if levels:
         # at most MAX_CATEGORY_LEVELS and the missing one per column
@@ -192,13 +246,12 @@ def fit(df: DataFrame, features) -> Encoding:
     return Encoding(
         numeric=fit_numeric(df, named[NUMERIC], holed),
         categorical=[(c, sorted(v)) for c, v in levels.items()],
-        text=named[TEXT], terms=terms, rows=df.count(),
+        text=named[TEXT], terms=terms, rows=df.count(), vectors=fit_vectors(df, named[VECTOR]),
     )
 
 
 def with_idf(encoding: Encoding, frequency: np.ndarray) -> Encoding:
-    return Encoding(encoding.numeric, encoding.categorical, encoding.text, encoding.terms,
-                    encoding.rows, idf_weights(frequency, encoding.rows))
+    return replace(encoding, idf=idf_weights(frequency, encoding.rows))
 
 
 def compared_rows(table: AuditTable, holdout: str) -> DataFrame:

@@ -221,6 +221,36 @@ def test_encoding_matches_a_plain_computation(spark):
         assert best[i][1] == pytest.approx(sims[i, train].max(), abs=2e-6)
 
 
+def test_vectors_are_encoded_like_columns(spark):
+    """Null, short, NaN and null-entry vectors; the same numbers as columns give the same twins."""
+    rng = np.random.default_rng(12)
+    x = np.round(rng.normal(size=(60, 18)), 3)
+    x[:, 4] = 1.5
+    x[rng.random(x.shape) < 0.05] = np.nan
+    x[5, 10:] = np.nan
+    x[7] = np.nan
+    base = pd.DataFrame({"id": range(60), "split": ["train", "train", "test"] * 20, "label": "a"})
+    cells = [[None if np.isnan(v) and j % 2 else float(v) for j, v in enumerate(r)] for r in x]
+    cells[5], cells[7] = cells[5][:10], None
+    wide = audit_table(spark.createDataFrame(pd.concat([base, pd.DataFrame(x, columns=[f"f{j}" for j in range(18)])], axis=1)), id="id")
+    vector = audit_table(spark.createDataFrame(
+        [(*r, c) for r, c in zip(base.itertuples(index=False, name=None), cells)],
+        "id long, split string, label string, v array<double>"), id="id")
+    one, two = encode(wide, "test", "id"), encode(vector, "test", "id")
+    assert two.encoding.width == one.encoding.width == 18 and two.encoding.description == "1 vector"
+    left, right = ({(r["train_ref"], r["held_ref"]): r["dense"] for r in c.vectors.collect()} for c in (one, two))
+    assert left.keys() == right.keys()
+    assert all(np.allclose(left[k], right[k], atol=1e-12) for k in left)
+
+
+def test_vector_keys(spark):
+    nan = float("nan")
+    rows = spark.createDataFrame([([1.0, nan],), ([1.0, None],), ([1.0, 2.0],), ([1.0000000001, nan],), (None,)], "v array<double>")
+    exact, rounded = ([r[0] for r in rows.select(f(rows, ["v"])).collect()] for f in (exact_key, fingerprint))
+    assert exact[0] == exact[1] and len(set(exact)) == 4
+    assert rounded[0] == rounded[1] == rounded[3] and len(set(rounded)) == 3
+
+
 def test_thousands_separators_are_not_numbers(spark):
     df = spark.createDataFrame([(f" {i} ", f"1,{i:03d}") for i in range(60)], "a string, b string")
     assert {r["column"]: r["kind"] for r in column_profile(df, ["a", "b"]).collect()} == {"a": "numeric", "b": "text"}

@@ -182,10 +182,29 @@ def forest(far: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
+def _joined(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Group of each of n nodes after joining the given links."""
+    group = np.arange(n)
+
+    def top(x: int) -> int:
+        while group[x] != x:
+            group[x] = group[group[x]]
+            x = group[x]
+        return x
+
+    for i, j in zip(left.tolist(), right.tolist()):
+        x, y = top(i), top(j)
+        group[max(x, y)] = min(x, y)
+    return np.array([top(x) for x in range(n)])
+
+
 def links(prints: DataFrame, radius: int = 3, agree: int = 2, block: int = BLOCK) -> DataFrame:
     """Direct links (a, b) between fingerprints ``f`` within ``radius`` bits, as many as join all that are linked.
 
     With a column ``g``, the group a fingerprint is known to belong to: all links between groups.
+
+    A bucket of more than ``block`` is cut into chunks that meet in pairs. A chunk's own links come from one of its
+    meetings; the others add only what joins its groups with those of the chunk they meet.
     """
     bands = radius + agree
     edges = [64 * i // bands for i in range(bands + 1)]
@@ -204,7 +223,8 @@ def links(prints: DataFrame, radius: int = 3, agree: int = 2, block: int = BLOCK
         .withColumn("chunk", F.pmod(F.xxhash64("e.f"), F.col("chunks")).cast("int"))
     other = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(
         F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: j != F.col("chunk")))
-    met = dealt.select("e", "key", "chunk", F.explode(other).alias("j")).groupBy(
+    marked = F.struct("e.f", "e.g", F.col("chunk").cast("long").alias("chunk")).alias("e")
+    met = dealt.select(marked, "key", "chunk", F.explode(other).alias("j")).groupBy(
         "key", F.least("chunk", "j").alias("i"), F.greatest("chunk", "j").alias("j")).agg(F.collect_list("e").alias("es")).where(F.size("es") > 1)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,17 +233,33 @@ def links(prints: DataFrame, radius: int = 3, agree: int = 2, block: int = BLOCK
         def done():
             both = np.concatenate(held)
             if grouped:
-                both = np.unique(both, axis=0)
+                both = np.unique(both[:, :2], axis=0)
                 prints, group = np.ascontiguousarray(both[:, 0]), both[:, 1]
             else:
                 prints = group = np.unique(both[:, 0])
             far = distances(prints.view(np.uint64), radius)
-            if far is None:
-                left = right = np.zeros(0, np.int64)
-            elif grouped:
-                left, right = np.nonzero(np.triu((far < FAR) & (group[:, None] != group[None, :])))
-            else:
-                left, right = forest(far, group)
+            left, right = (np.zeros(0, np.int64),) * 2 if far is None else linked(far, group)
+            return pa.RecordBatch.from_arrays([pa.array(prints[left]), pa.array(prints[right])], ["a", "b"])
+
+        def linked(far, group):
+            if grouped:
+                return np.nonzero(np.triu((far < FAR) & (group[:, None] != group[None, :])))
+            return forest(far, group)
+
+        def meeting(both):
+            """Two chunks of one bucket. Chunk 0 gives its own links where it meets 1, all others where they meet 0."""
+            both = both[np.unique(both, axis=0, return_index=True)[1]] if grouped else both[np.unique(both[:, 0], return_index=True)[1]]
+            prints, chunk = np.ascontiguousarray(both[:, 0]), both[:, 2]
+            group = both[:, 1] if grouped else prints
+            first, second = chunk.min(), chunk.max()
+            far = distances(prints.view(np.uint64), radius)
+            left = right = np.zeros(0, np.int64)
+            if far is not None:
+                inside = chunk[:, None] == chunk[None, :]
+                own, other = linked(np.where(inside, far, FAR), group)
+                across = linked(np.where(inside, FAR, far), group if grouped else _joined(len(prints), own, other))
+                told = (chunk[own] == second) | (second == 1) if first == 0 else np.zeros(len(own), bool)
+                left, right = np.r_[own[told], across[0]], np.r_[other[told], across[1]]
             return pa.RecordBatch.from_arrays([pa.array(prints[left]), pa.array(prints[right])], ["a", "b"])
 
         for batch in batches:
@@ -231,6 +267,9 @@ def links(prints: DataFrame, radius: int = 3, agree: int = 2, block: int = BLOCK
             values = np.stack([x.to_numpy() for x in lists.flatten().flatten()], axis=1)
             offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             for a, b in zip(offsets[:-1], offsets[1:]):
+                if (values[a:b, 2] != values[a, 2]).any():
+                    yield meeting(values[a:b])
+                    continue
                 if held and size + b - a > FILL:
                     yield done()
                     held, size = [], 0

@@ -28,13 +28,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts (operator 10)."""
-    result = dedup.exact_duplicates(docs)
+    result = written(dedup.exact_duplicates(docs), "exact")
     stays = result.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
     digest = F.sha2(dedup.normalised().cast("binary"), 256)
     same = (docs["doc_id"].eqNullSafe(F.col("_id"))) & (digest == F.col("_sha"))
-    # Repeated rows of an id have one kept row between them.
+    found = docs.join(stays, same, "left_semi")
+    # Ids as a rule name one row each. Repeated rows of an id and text have one kept row between them; only then are texts ordered.
+    if result.groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty():
+        return found
     order = W.partitionBy("doc_id", digest).orderBy(F.length(text_of("text")).desc(), "text")
-    return docs.join(stays, same, "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*docs.columns)
+    return found.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,8 +18,6 @@ taken whole. Pieces carry only the named columns, so other columns of the input
 from __future__ import annotations
 
 import os
-import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,15 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from holdfast.llm.rows import Recent, text_of
+from holdfast.llm.rows import text_of
 from holdfast.storage import spread, written
 
 SIZE = 4096
 
 
-#: Words that are one pre-token and that the normaliser leaves alone; and where such a word ends before a sign, at
-#: which the tokenizer cuts as well (not before an apostrophe, which may start a contraction).
-PLAIN = re.compile("[a-zß-öø-ÿ]+")
+#: Words that are one pre-token; and where such a word ends before a sign, at which the tokenizer cuts as well (not
+#: before an apostrophe, which may start a contraction).
+PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 CUT = r"([A-Za-zß-öø-ÿ])([!-&(-/:-@\[-`{-~])"
 
 
@@ -45,29 +43,55 @@ class Encoder:
     """Ids of texts for a BPE tokenizer that drops white space and case."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.words = Recent()
+        model, vocabulary = self.library.model, self.library.get_vocab()
+        self.words = Tokenizer(model)  # for words that are cut, in lower case and spelled in the vocabulary's signs
+        self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        # Whether an id ends a word; without such a sign in the vocabulary, words are encoded one by one.
+        suffix = model.end_of_word_suffix
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         # The signs that stand for the bytes of a word inside the vocabulary.
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         self.signs = {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
-    def learn(self, words: list[str]) -> None:
-        """Ids of distinct words, put into ``words.now``."""
-        odd, known, tokenize = [], self.words.now, self.library.model.tokenize
-        for word in words:
-            lower = word.lower()
-            if PLAIN.fullmatch(lower):
-                name = lower if lower.isascii() else lower.encode().decode("latin-1").translate(self.signs)
-                known[word] = array("I", [t.id for t in tokenize(name)]).tobytes()
-            else:
-                odd.append(word)
+    def spelled(self, words: pa.Array) -> str:
+        """The words as the vocabulary spells them, with blanks between."""
+        text = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), pc.utf8_lower(words)), " ")[0].as_py()
+        return text if text.isascii() else " ".join(w.encode().decode("latin-1").translate(self.signs) for w in text.split(" "))
+
+    def ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words in one array, and where each word's begin and how many there are."""
+        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False)
+        beyond = pc.binary_length(words).to_numpy() - pc.utf8_length(words).to_numpy()
+        held, have, odd = [], 0, [np.flatnonzero(~plain)]
+        plain = np.flatnonzero(plain)
+        plain = plain[np.argsort(beyond[plain] > 0, kind="stable")]  # words of ASCII letters first
+        for at in range(0, len(plain), 4000):  # as one text: the ids tell where words end
+            some = plain[at:at + 4000]
+            ids = np.array(self.words.encode_batch_fast([self.spelled(words.take(pa.array(some)))], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids])
+            if len(ends) != len(some):
+                odd.append(some)
+                continue
+            sizes[some] = np.diff(ends, prepend=-1)
+            starts[some] = have + ends + 1 - sizes[some]
+            held.append(ids)
+            have += len(ids)
+        odd = np.concatenate(odd)
         for at in range(0, len(odd), 2000):
             some = odd[at:at + 2000]
-            for word, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                known[word] = array("I", e.ids).tobytes()
+            found = [e.ids for e in self.library.encode_batch_fast(words.take(pa.array(some)).to_pylist(), add_special_tokens=False)]
+            sizes[some] = [len(ids) for ids in found]
+            starts[some] = have + np.cumsum(sizes[some]) - sizes[some]
+            held.append(np.array([i for ids in found for i in ids], "<u4"))
+            have += len(held[-1])
+        return np.concatenate(held) if held else np.zeros(0, "<u4"), starts, sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's begin and the last one's end."""
@@ -75,15 +99,11 @@ class Encoder:
             texts = pc.replace_substring_regex(texts, CUT, r"\1 \2")
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        self.learn(self.words.missing(set(distinct)))
-        ids = list(map(self.words.now.__getitem__, distinct))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-        flat = np.frombuffer(b"".join(ids), "<u4")
+        flat, starts, sizes = self.ids_of(coded.dictionary)
         which = coded.indices.to_numpy()
         own = sizes[which]
         ends = np.concatenate([[0], np.cumsum(own)])
-        places = np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], own) + np.arange(ends[-1])
+        places = np.repeat(starts[which] - ends[:-1], own) + np.arange(ends[-1])
         return flat[places], ends[words.offsets.to_numpy() - words.offsets[0].as_py()]
 
 
@@ -94,8 +114,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, ids (little-endian unsigned 32 bit).
 
-    Words are tokenised once while they are remembered, by a worker from task to task; the tokenizer
-    drops white space, so the ids of a text are those of its words in a row.
+    The distinct words of some megabytes of text are tokenised once; the tokenizer drops white space, so
+    the ids of a text are those of its words in a row.
     """
     rows = spread(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")))
 
@@ -109,7 +129,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE,
             at = 0
             while at < len(texts):  # some megabytes of text at a time
                 done = bytes_before[at - 1] if at else 0
-                stop = max(at + 1, int(np.searchsorted(bytes_before, done + 3_000_000, side="right")))
+                stop = max(at + 1, int(np.searchsorted(bytes_before, done + 8_000_000, side="right")))
                 ids, ends = encoder.encode(texts.slice(at, stop - at))
                 out = []
                 for k in range(at, stop):
@@ -145,6 +165,23 @@ def knapsack(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), pattern
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by elimination with pivots. The library's own may wait for its threads for ever in a driver, which has started a JVM."""
+    rest, inverse = matrix.astype(float), np.eye(len(matrix))
+    for k in range(len(rest)):
+        pivot = k + int(np.abs(rest[k:, k]).argmax())
+        for side in (rest, inverse):
+            side[[k, pivot]] = side[[pivot, k]]
+        inverse[k] /= rest[k, k]
+        rest[k, k:] /= rest[k, k]
+        own = np.flatnonzero(rest[:, k])
+        own = own[own != k]
+        factors, reach = rest[own, k], np.flatnonzero(inverse[k])
+        rest[own, k:] -= np.outer(factors, rest[k, k:])
+        inverse[np.ix_(own, reach)] -= np.outer(factors, inverse[k, reach])
+    return inverse
+
+
 def column_generation(demand: np.ndarray, rounds: int = 4000, gap: float = 5e-4) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (one per row) and how often each is used, possibly in fractions, to cover ``demand``.
 
@@ -162,7 +199,7 @@ def column_generation(demand: np.ndarray, rounds: int = 4000, gap: float = 5e-4)
     inverse, used = np.diag(1.0 / fits), demand[classes] / fits
     for turn in range(rounds):
         if turn % 200 == 199:  # rounding errors don't build up
-            inverse = np.linalg.inv(patterns[:, classes].T.astype(float))
+            inverse = inverted(patterns[:, classes].T)
             used = np.maximum(inverse @ demand[classes], 0)
         prices = np.zeros(units)
         prices[classes] = np.maximum(inverse.sum(axis=0), 0)

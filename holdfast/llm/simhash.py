@@ -20,7 +20,6 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,51 +72,6 @@ def fingerprints(words: int, seed: int = 42) -> Callable:
     return scalar(run, "long")
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """Spreads every bit of 64-bit numbers over all of them."""
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-def _word_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, summed over its bytes and their places; and whether it has any, as splits leave empty words."""
-    sizes = pc.binary_length(words).to_numpy().astype(np.int64)
-    there = sizes > 0
-    starts = np.cumsum(sizes) - sizes
-    total = int(sizes.sum())
-    hashes = np.zeros(len(words), np.uint64)
-    if total:
-        places = np.arange(total) - np.repeat(starts, sizes)
-        code = np.frombuffer(words.buffers()[2], np.uint8, total).astype(np.uint64) + (places.astype(np.uint64) << np.uint64(8))
-        hashes[there] = _mixed(np.add.reduceat(_mixed(code + np.uint64(1)), starts[there]))
-    return hashes, there
-
-
-def pair_fingerprints(seeds: tuple[int, ...]) -> Callable:
-    """Column function: text -> a fingerprint of its distinct word pairs (one word: of the word) for each seed."""
-    salts = _mixed(np.array(seeds, np.uint64) + np.uint64(1))
-
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            parts = pc.ascii_split_whitespace(pc.ascii_lower(batch))
-            coded = parts.flatten().dictionary_encode()
-            of_word, there = _word_hashes(coded.dictionary)
-            codes = coded.indices.to_numpy()
-            ends = np.cumsum(pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False))
-            out = np.zeros((len(batch), len(seeds)), np.uint64)
-            for row, (start, end) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
-                h = codes[start:end]
-                h = of_word[h[there[h]]]
-                if len(h):
-                    pairs = np.sort(_mixed(h[:-1]) + h[1:]) if len(h) > 1 else h
-                    pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
-                    out[row] = [majority(_mixed(pairs ^ salt)) for salt in salts]
-            yield pa.ListArray.from_arrays(np.arange(0, out.size + 1, len(seeds), dtype=np.int32), out.view(np.int64).ravel())
-
-    return scalar(run, "array<long>")
-
-
 def distances(prints: np.ndarray, radius: int) -> np.ndarray | None:
     """Matrix of differing bits, FAR where they are more than ``radius`` (at most 7); None if all pairs are."""
     n = len(prints)
@@ -201,14 +155,11 @@ def _joined(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def links(prints: DataFrame, radius: int = 3, agree: int = 2, block: int = BLOCK) -> DataFrame:
     """Direct links (a, b) between fingerprints ``f`` within ``radius`` bits, as many as join all that are linked.
 
-    With a column ``g``, the group a fingerprint is known to belong to: all links between groups.
-
     A bucket of more than ``block`` is cut into chunks that meet in pairs. A chunk's own links come from one of its
     meetings; the others add only what joins its groups with those of the chunk they meet.
     """
     bands = radius + agree
     edges = [64 * i // bands for i in range(bands + 1)]
-    grouped = "g" in prints.columns
 
     def band(i: int):
         mask = ((1 << (edges[i + 1] - edges[i])) - 1) << edges[i]
@@ -216,14 +167,13 @@ def links(prints: DataFrame, radius: int = 3, agree: int = 2, block: int = BLOCK
 
     # Buckets of equal hash share one list: more is compared, no link is lost.
     keys = [F.xxhash64(F.lit(k), _either([band(i) for i in chosen])) for k, chosen in enumerate(combinations(range(bands), agree))]
-    entry = F.struct("f", F.col("g" if grouped else "f").alias("g"))
-    rows = prints.select(entry.alias("e"), F.explode(F.array(*keys)).alias("key"))
+    rows = prints.select("f", F.explode(F.array(*keys)).alias("key"))
     crowded = written(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "crowded")
     dealt = rows.join(crowded, "key", "left").withColumn("chunks", F.coalesce(F.ceil(F.col("n") / block).cast("int"), F.lit(1))) \
-        .withColumn("chunk", F.pmod(F.xxhash64("e.f"), F.col("chunks")).cast("int"))
+        .withColumn("chunk", F.pmod(F.xxhash64("f"), F.col("chunks")).cast("int"))
     other = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(
         F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: j != F.col("chunk")))
-    marked = F.struct("e.f", "e.g", F.col("chunk").cast("long").alias("chunk")).alias("e")
+    marked = F.struct("f", F.col("chunk").cast("long").alias("chunk")).alias("e")
     met = dealt.select(marked, "key", "chunk", F.explode(other).alias("j")).groupBy(
         "key", F.least("chunk", "j").alias("i"), F.greatest("chunk", "j").alias("j")).agg(F.collect_list("e").alias("es")).where(F.size("es") > 1)
 
@@ -231,33 +181,22 @@ def links(prints: DataFrame, radius: int = 3, agree: int = 2, block: int = BLOCK
         held, size = [], 0
 
         def done():
-            both = np.concatenate(held)
-            if grouped:
-                both = np.unique(both[:, :2], axis=0)
-                prints, group = np.ascontiguousarray(both[:, 0]), both[:, 1]
-            else:
-                prints = group = np.unique(both[:, 0])
+            prints = np.unique(np.concatenate(held)[:, 0])
             far = distances(prints.view(np.uint64), radius)
-            left, right = (np.zeros(0, np.int64),) * 2 if far is None else linked(far, group)
+            left, right = (np.zeros(0, np.int64),) * 2 if far is None else forest(far, prints)
             return pa.RecordBatch.from_arrays([pa.array(prints[left]), pa.array(prints[right])], ["a", "b"])
 
-        def linked(far, group):
-            if grouped:
-                return np.nonzero(np.triu((far < FAR) & (group[:, None] != group[None, :])))
-            return forest(far, group)
-
         def meeting(both):
             """Two chunks of one bucket. Chunk 0 gives its own links where it meets 1, all others where they meet 0."""
-            both = both[np.unique(both, axis=0, return_index=True)[1]] if grouped else both[np.unique(both[:, 0], return_index=True)[1]]
-            prints, chunk = np.ascontiguousarray(both[:, 0]), both[:, 2]
-            group = both[:, 1] if grouped else prints
+            both = both[np.unique(both[:, 0], return_index=True)[1]]
+            prints, chunk = np.ascontiguousarray(both[:, 0]), both[:, 1]
             first, second = chunk.min(), chunk.max()
             far = distances(prints.view(np.uint64), radius)
             left = right = np.zeros(0, np.int64)
             if far is not None:
                 inside = chunk[:, None] == chunk[None, :]
-                own, other = linked(np.where(inside, far, FAR), group)
-                across = linked(np.where(inside, FAR, far), group if grouped else _joined(len(prints), own, other))
+                own, other = forest(np.where(inside, far, FAR), prints)
+                across = forest(np.where(inside, FAR, far), _joined(len(prints), own, other))
                 told = (chunk[own] == second) | (second == 1) if first == 0 else np.zeros(len(own), bool)
                 left, right = np.r_[own[told], across[0]], np.r_[other[told], across[1]]
             return pa.RecordBatch.from_arrays([pa.array(prints[left]), pa.array(prints[right])], ["a", "b"])
@@ -267,7 +206,7 @@ def links(prints: DataFrame, radius: int = 3, agree: int = 2, block: int = BLOCK
             values = np.stack([x.to_numpy() for x in lists.flatten().flatten()], axis=1)
             offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             for a, b in zip(offsets[:-1], offsets[1:]):
-                if (values[a:b, 2] != values[a, 2]).any():
+                if (values[a:b, 1] != values[a, 1]).any():
                     yield meeting(values[a:b])
                     continue
                 if held and size + b - a > FILL:
@@ -301,80 +240,3 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3,
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(names, "root").select("f", "component_id")
     return rows.join(named, "f").select("doc_id", F.col("f").alias("fingerprint"), "component_id")
-
-
-def alike(words: int, similarity: float) -> Callable:
-    """Column function: whether the word shingles of two texts have at least this Jaccard similarity."""
-
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for left, right in batches:
-            out, last, kept = [], None, frozenset()
-            for a, b in zip(left, right):
-                a, b = a.as_py() or "", b.as_py() or ""
-                if b != last:
-                    last, kept = b, frozenset(shingles(b.encode(), words))
-                own = frozenset(shingles(a.encode(), words))
-                both = len(own & kept)
-                out.append(both >= similarity * (len(own) + len(kept) - both))
-            yield pa.array(out, pa.bool_())
-
-    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "boolean")
-
-
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6, seeds: tuple[int, ...] = (42, 7),
-                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, root) of documents joined by texts of this similarity; root is the smallest id of a group.
-
-    Fingerprints of the distinct word pairs bring candidates up to ``radius`` bits apart; every link is then
-    checked on the texts' shingles of ``words`` words. Documents are first checked against the first of
-    their fingerprint and along the shortest links of a spanning forest. Where a check fails, all remaining links
-    between the confirmed groups of that neighbourhood are checked; documents of one group and one fingerprint
-    are represented by the first. An id is that of one document; null ids take no part.
-    """
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).where("doc_id is not null")
-    prints = written(spread(texts).select("doc_id", pair_fingerprints(seeds)("text").alias("fs")), "fingerprints")
-    of_seed = [prints.select("doc_id", F.col("fs")[k].alias("f")) for k in range(len(seeds))]
-    first = [p.groupBy("f").agg(F.min("doc_id").alias("rep")) for p in of_seed]
-
-    def ids(found: DataFrame, k: int) -> DataFrame:
-        return found.join(first[k].withColumnRenamed("rep", "x"), F.col("a") == F.col("f")).drop("f") \
-            .join(first[k].withColumnRenamed("rep", "y"), F.col("b") == F.col("f")).select("x", "y")
-
-    same = [p.join(f, "f").where("doc_id <> rep").select(F.col("doc_id").alias("x"), F.col("rep").alias("y")) for p, f in zip(of_seed, first)]
-    asked = _ordered([*same, *[ids(links(f.select("f"), radius), k) for k, f in enumerate(first)]])
-    one = written(asked, "asked")
-    good = written(_confirmed(one, texts, words, similarity), "confirmed")
-    roots = components(good.where("ok"), "x", "y")
-    # Only where a check failed can a link within the radius be left between confirmed groups.
-    reach = written(components(one, "x", "y").unionByName(one.select(F.col("y").alias("node"), F.col("y").alias("root"))).distinct(), "reach")
-    failed = good.where("not ok").select(F.col("x").alias("node")).join(reach, "node").select("root").distinct()
-    open_ = written(reach.join(failed, "root", "left_semi").groupBy("node").agg(F.min("root").alias("_")).select("node")
-                    .join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("g")), "open")
-    more = []
-    for p in of_seed:
-        groups = p.join(open_, F.col("doc_id") == F.col("node")).groupBy("f", "g").agg(F.min("doc_id").alias("rep"))
-        x = groups.select(F.col("f").alias("a"), F.col("rep").alias("x"), F.col("g").alias("gx"))
-        y = groups.select(F.col("f").alias("b"), F.col("rep").alias("y"), F.col("g").alias("gy"))
-        equal = groups.select(F.col("f").alias("a"), F.col("f").alias("b")).distinct()
-        near = links(groups.select("f", "g"), radius).unionByName(equal)
-        more.append(near.join(x, "a").join(y, "b").where("gx <> gy").select("x", "y"))
-    rest = written(_ordered(more).join(one, ["x", "y"], "left_anti"), "asked")
-    late = written(_confirmed(rest, texts, words, similarity), "confirmed")
-    return components(good.where("ok").unionByName(late.where("ok")), "x", "y")
-
-
-def _ordered(pairs: list[DataFrame]) -> DataFrame:
-    both = pairs[0]
-    for p in pairs[1:]:
-        both = both.unionByName(p)
-    return both.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct()
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (x, y) with ``ok``: whether their texts are alike."""
-    nodes = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    needed = written(texts.join(nodes, "doc_id", "left_semi"), "needed-texts")
-    left = needed.select(F.col("doc_id").alias("x"), F.col("text").alias("tx"))
-    right = needed.select(F.col("doc_id").alias("y"), F.col("text").alias("ty"))
-    return pairs.join(left, "x").join(right, "y").select("x", "y", alike(words, similarity)("tx", "ty").alias("ok"))

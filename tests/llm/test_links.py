@@ -37,12 +37,3 @@ def test_components_do_not_depend_on_chunks(spark, radius, block):
             want = {p: min(x, y) if r in (x, y) else r for p, r in want.items()}
     linked = {p for pair in near(prints, radius) for p in pair}
     assert got == {p: want[p] for p in linked if want[p] != p}
-
-
-@pytest.mark.parametrize("block", [24, 1024])
-def test_all_links_between_known_groups(spark, block):
-    prints = prints_of(9)
-    group = {p: k % 7 for k, p in enumerate(prints)}
-    table = spark.createDataFrame([(p, group[p]) for p in prints] + [(prints[0], 99)], "f long, g long").repartition(3)
-    got = {tuple(sorted(r)) for r in simhash.links(table, 3, block=block).collect() if r.a != r.b}
-    assert got == {(a, b) for a, b in near(prints, 3) if group[a] != group[b] or prints[0] in (a, b)}

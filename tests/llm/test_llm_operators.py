@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from conftest import ROWS
 from holdfast.llm import dedup, disclosure, extraction, forest, licences, machine, packing, pieces, simhash, urlrules
 from holdfast.llm.queries import OP4_SQL, PIECES, RULES, WORDS
+from plain import brute_components, brute_fingerprint
 
 BLANK = re.compile(r"[\x20\x09-\x0D]")
 
@@ -89,13 +90,24 @@ def test_distances(radius):
         assert ((far != simhash.FAR) == ((want <= radius) & own)).all()
 
 
-def test_near_copies(spark):
-    words = [f"w{i}" for i in range(300)]
-    copy = [*words[:150], "other", *words[151:]]
-    rows = [(1, " ".join(words)), (2, " ".join(copy)), (3, " ".join(words[150:])), (4, None), (5, "")]
-    found = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {(r.node, r.root) for r in found if r.node != r.root} >= {(2, 1)}
-    assert 3 not in {r.node for r in found}
+def test_simhash_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    texts = ["", None, " \t", "one", "ONE", "Two  words", "a b c a b c a b c", "é É\u00a0x\x0by"]
+    for _ in range(12):
+        words = [f"w{k}" for k in rng.integers(0, 400, 120)]
+        texts.append(" ".join(words))
+        for edits in (1, 1, 2, 4):
+            for at in rng.integers(0, 120, edits):
+                words[at] = "changed"
+            texts.append("\n".join(words))
+    rows = [(1000 - i, t) for i, t in enumerate(texts)] + [(1000, "one")]
+    prints = [brute_fingerprint(t or "", 3) for _, t in rows]
+    roots = brute_components([i for i, _ in rows], prints, 3)
+    want = sorted((i, f, r) for (i, _), f, r in zip(rows, prints, roots))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.fingerprint % (1 << 64), r.component_id) for r in simhash.near_duplicates(table).collect())
+    assert got == want
+    assert 1 < len(set(roots)) < len(rows) - 10  # some are joined, not all
 
 
 def test_exact_duplicates(docs, none):

@@ -41,10 +41,13 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one of smallest id (operator 6)."""
+    """One document of each group of near copies, the one of smallest id (operator 6: three words, three bits).
+
+    Rows without an id stay. An id is that of one document: where several rows still share one, they stay or go together.
+    """
     long_texts(spark)
-    groups = simhash.near_copies(docs)
-    gone = written(groups.where("node <> root").select(F.col("node").alias("_id")).distinct(), "near-copies")
+    found = simhash.near_duplicates(docs, words=3, radius=3)
+    gone = written(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
     return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti").select(*docs.columns)
 
 
@@ -75,7 +78,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Fitting, links of fingerprints and packing are not SQL; tests hold the stages against brute force.
+#: Fitting, links of fingerprints and packing are not SQL; tests/llm/test_pipeline.py holds them against plain Python.
 ORACLE_SQL = None
 
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from holdfast.llm import dedup, disclosure, machine, packing, simhash
 from holdfast.llm.queries import WORDS
-from holdfast.llm.rows import long_texts, read, text_of
-from holdfast.storage import shared_folder, written
+from holdfast.llm.rows import read, text_of
+from holdfast.storage import shared_folder, small_batches, written
 
 LEAST_SCORE = 0.3
 
@@ -45,7 +45,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without an id stay. An id is that of one document: where several rows still share one, they stay or go together.
     """
-    long_texts(spark)
+    small_batches(spark)
     found = simhash.near_duplicates(docs, words=3, radius=3)
     gone = written(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
     return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti").select(*docs.columns)

@@ -30,8 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from holdfast.llm.rows import long_texts
-from holdfast.storage import spread, written
+from holdfast.storage import small_batches, spread, written
 
 LONG = (-(1 << 63), (1 << 63) - 1)
 #: Partial sums of one matrix row that meet in one task.
@@ -314,7 +313,7 @@ def fit(rows: DataFrame, many: int) -> Whitening | None:
 
 def whiten(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", many: int = 4, scale: float = 256.0) -> DataFrame:
     """Per row and component: vec_id, component, n, deviation, whitened, explained, identity_error."""
-    long_texts(table.sparkSession)
+    small_batches(table.sparkSession)
     rows = vectors(table, id_col, vector_col, scale)
     learned = fit(rows, many)
     kinds = "component int, n long, deviation long, whitened double, explained double, identity_error double"

@@ -113,3 +113,65 @@ def test_arrow_batches_are_bounded(spark):
     written(spark.range(3), "few")
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
+
+
+def _text_rows(spark, rng, n, extra=()):
+    counts = (rng.random((n, 120)) < 0.1) * rng.integers(1, 4, (n, 120))
+    counts[:, 0] = 1 + np.arange(n) % 3
+    counts[n // 2:n // 2 + n // 4] = counts[:n // 4]
+    counts[:, 7] += rng.integers(0, 2, n)
+    idf = np.log((1 + n) / (1 + (counts > 0).sum(axis=0))) + 1
+    unit = counts * idf / np.linalg.norm(counts * idf, axis=1, keepdims=True)
+    kept = [np.flatnonzero(r) for r in counts]
+    rows = [(f"k{i:03}", [], k.tolist(), r[k].tolist(), 1.0, int(i)) for i, (k, r) in enumerate(zip(kept, counts))]
+    df = written(spark.createDataFrame(
+        rows, "key string, dense array<double>, terms array<int>, weights array<int>, scale double, ref bigint"), "rows")
+    return df.where(f"ref >= {n // 2}").drop("ref"), df.where(f"ref < {n // 2}"), unit[n // 2:] @ unit[:n // 2].T, idf
+
+
+@pytest.mark.parametrize("floor", [None, 0.8])
+def test_long_rows_are_read_in_place(spark, monkeypatch, floor):
+    queries, base, sims, idf = _text_rows(spark, np.random.default_rng(6), 200)
+    made = []
+    monkeypatch.setattr(nearest, "_in_place", lambda *a, f=nearest._in_place: made.append(a) or f(*a))
+    monkeypatch.setattr(nearest, "block_join", None)
+    plan = BlockPlan(one_cell_rows=10, max_pivots=6, long_row_bytes=0, long_block_bytes=1_500, copied_bytes=0, index_share=0)
+    got = {r["query_key"]: (r["ref"], r["similarity"]) for r in nearest.nearest_neighbours(queries, base, floor, plan, idf).collect()}
+    sims = np.round(sims, 6)
+    want = {f"k{100 + i:03}": (int(s.argmax()), s.max()) for i, s in enumerate(sims) if s.max() >= (floor or -1)}
+    assert got == want and len(made) == 2
+    best = [(r["query_key"], r["ref"]) for r in nearest.closest_pair(queries, base, plan, idf).collect()]
+    assert sorted(best) == [(f"k{100 + i:03}", int(s.argmax())) for i, s in enumerate(sims) if s.max() == sims.max()]
+    q_blocks, b_blocks = made[0][:2]
+    assert b_blocks.count() > 6 and q_blocks.count() > 6
+    assert "Exchange hash" not in nearest._in_place(*made[0])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packed_rows_come_back(spark):
+    rows = [([], []), ([3, 40_000, 70_001], [1, 70_000, 2]), ([0], [5]), ([], []), ([7, 8], [300, 1])]
+    df = spark.createDataFrame(rows, "terms array<int>, weights array<int>").coalesce(1)
+    offsets, terms, counts = nearest._unpacked(df.select(nearest._packed_of().alias("p")).toArrow()["p"])
+    assert [(terms[lo:hi].tolist(), counts[lo:hi].tolist()) for lo, hi in zip(offsets, offsets[1:])] == rows
+
+
+def test_blocks_of_long_rows_are_small(spark):
+    queries, base, _, _ = _text_rows(spark, np.random.default_rng(7), 40)
+    _, block, row_bytes = nearest.rows_and_block(queries, base, BlockPlan(long_row_bytes=50, long_block_bytes=1_000))
+    assert block == int(1_000 // row_bytes) and 50 <= row_bytes <= 1_000
+
+
+def test_sketches_are_made_some_rows_at_a_time(monkeypatch):
+    left, _, _, _, idf, _ = _sides(np.random.default_rng(8), dims=3)
+    rows = _Rows(left, idf).take(np.arange(70))
+    whole = rows.filter_matrix(True, 16)
+    monkeypatch.setattr(nearest, "SKETCH_TERMS", 50)
+    assert np.array_equal(whole, rows.filter_matrix(True, 16))
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    from pyspark.sql import functions as F
+
+    tracker = spark._jsparkSession.sparkContext().env().mapOutputTracker()
+    before = tracker.shuffleStatuses().size()
+    rows = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "sevenths")
+    assert rows.count() == 7 and tracker.shuffleStatuses().size() <= before + 1

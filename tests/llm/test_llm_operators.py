@@ -209,3 +209,15 @@ def test_pieces_agendas():
         cut = pieces.chunks_of(text) if text else []
         found = np.frombuffer(b"".join(vocabulary.merge(cut)), np.int32).tolist()
         assert found == vocabulary.library.encode(text), text
+
+
+def test_every_decoded_row_is_checked(spark):
+    """Two bytes that begin a character and don't end it: the library gives another text, which any row must show."""
+    vocabulary = pieces.Vocabulary(PIECES)
+    plain, cut = vocabulary.library.encode("some words"), vocabulary.bytes[[0xE3, 0x81]].tolist()
+    rows = spark.createDataFrame([(k, plain) for k in range(3)], "n int, ids array<int>")
+    texts = rows.select(pieces.decode(PIECES)("ids").alias("t"))
+    assert [r.t for r in texts.collect()] == ["some words"] * 3
+    odd = rows.union(spark.createDataFrame([(3, cut)], "n int, ids array<int>")).coalesce(1)
+    with pytest.raises(Exception, match="differs from the library"):
+        odd.select(pieces.decode(PIECES)("ids").alias("t")).collect()

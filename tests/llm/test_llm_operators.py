@@ -139,6 +139,45 @@ def test_disclosing_terms(spark):
     assert "zebulon" in spans[0] and "boss" not in spans[0] and not spans[9]
 
 
+def test_disclosing_terms_against_brute_force(spark):
+    """Terms far from the entity, short ones, in texts without it, and repeated rows."""
+    rng = np.random.default_rng(3)
+    common = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)]
+    texts = ["", None, "İzmir ÉCOLE z@corp.com"]
+    for k in range(90):
+        fill = list(rng.choice(common, 60))
+        if k % 9 == 0:
+            fill = ["Bo", "Quarzenthal", *fill, *fill, "mail", "z@corp.com"]
+        elif k % 9 == 1:
+            fill = ["call +1 (706) 555-3138", *fill, "Li", "wang@corp.com"]
+        elif k % 30 == 2:
+            fill += ["Bo", "çorp", "élan@corp.com"]
+        texts += [" ".join(fill)] * (1 + k % 2)
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+
+    def outside(text):
+        return email.sub(lambda m: " " * len(m[0]), text)
+
+    def terms_of(text):
+        return [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", outside(text))]
+
+    def entities_of(text):
+        return {m.lower() for m in email.findall(text)} | set(re.findall(r"\+1 \(706\) 555-3138", text))
+
+    own = [({t for t, _, _ in terms_of(x or "")}, entities_of(x or "")) for x in texts]
+    n, told = len(texts), set()
+    for e in set().union(*(e for _, e in own)):
+        n_c = sum(e in found for _, found in own)
+        for t in set().union(*(t for t, _ in own)):
+            n_ct, n_t = sum(t in a and e in b for a, b in own), sum(t in a for a, _ in own)
+            if n_ct >= 3 and np.log(n * n_ct / (n_c * n_t)) >= 0.9 * np.log(n / n_c):
+                told.add(t)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: [(s.value, s.start, s.end) for s in r.spans if s.kind == "term"] for r in disclosure.find(rows).collect()}
+    assert {"quarzenthal", "mail", "li", "call", "bo"} <= told and "wang" not in told and not told.intersection(common)
+    assert got == {k: [x for x in terms_of(text or "") if x[0] in told] for k, text in enumerate(texts)}
+
+
 PAGE = ("<html><head><title>T &amp; t</title></head><body><nav><ul><li>Home</ul></nav><div class='x'>Shared line</div><p>Text {0} &lt;of&gt;"
         " the<br>page</p><p>More {0}x</p><form>Sign <b>up</b></form><!-- {0} --><footer>End</footer></body></html>")
 

@@ -189,6 +189,38 @@ def test_extraction(spark):
     assert got[20] == got[21] == "" and got[22] == "a\n\nb"
 
 
+def test_template_of_most_pages(spark):
+    """Blocks that one page lacks, and those of one section's pages, on a host with empty, cut and other pages."""
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for k in range(24):
+        text = " ".join(f"w{n}" for n in rng.integers(0, 10_000, 30))
+        part = "<div class='a b'><b>Read</b> all the daily stories <i>here</i></div>" if k % 3 else ""
+        line = "<p>Printed for our many readers</p>" if k % 4 else ""
+        page = f"<body><div>Town paper since long ago</div>{line}<div class='t'><p>{text}</p><p>{k} ends</p></div>{part}<div class='z'>All rights kept</div></body>"
+        rows.append((k, "http://a.b/x", page if k != 5 else page[:page.index("<p>")]))
+        want[k] = f"{text}\n\n{k} ends" if k != 5 else ""
+    rows += [(30, "http://a.b/y", None), (31, "http://a.b/y", " \n"), (32, "http://a.b/z", "<p>another page altogether")]
+    want |= {30: "", 31: "", 32: "another page altogether"}
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in extraction.extract(table).collect()} == want
+
+
+def test_hosts_in_parts(spark):
+    """A host cut into parts has the template of the whole, and the counts are those of plain Python."""
+    pages = [("a", PAGE.format(f"no{k}")) for k in range(400)] + [("a", PAGE.format("").replace("Shared", "Other"))] * 60
+    table = spark.createDataFrame(pages, "host string, html string").repartition(3)
+    whole, cut = (sorted((r.root, sorted(map(str, r.inner or []))) for r in extraction.templates(table, pages_in_part=n).collect()) for n in (1000, 150))
+    assert whole == cut and len(whole) == 1 and len(whole[0][0]) > 10
+    items = extraction.walk(pages[3][1])
+    counts, first = defaultdict(int), {}
+    for place, token in enumerate(extraction.tokens(items)):
+        counts[token] += 1
+        first.setdefault(token, place)
+    found = extraction._counted(items)
+    assert {(p, w): (n, found[p][1][w]) for p, (own, _) in found.items() for w, n in own.items()} == {t: (n, first[t]) for t, n in counts.items()}
+
+
 def test_url_rules(spark):
     rows = [(1, "http://X.Example.net/en/a?q"), (2, "http://example.net/fr"), (3, "http://net"), (4, None), (5, "nothing"), (6, "ftp://a.org/fr/#x"),
             (7, "http://planet/"), (8, "http://www.example.com/de/x"), (9, "http://example.netx/en/")]

@@ -4,8 +4,9 @@ A tree splits by the direction between two sample vectors, at the median of the
 fitted on at most ``sample`` vectors, the first by a hash of their id; every vector is indexed. A query goes
 through all trees at once: one priority queue holds the branches not taken, the least certain split first, until the
 leaves taken hold about ``share`` of all rows (if what trees hold overlaps by chance) and ``at_least`` rows. The vectors of
-these leaves are then ranked by exact distance, branch by branch (the ``2 ** branch`` subtrees below a root's first
-levels); only the nearest of a branch leave it. Branches of more than ``block`` rows are split over tasks, whatever fills them.
+these leaves are then ranked by exact distance: rows with the leaves they are in, and queries with the leaves they took, are
+packed into blocks, written once, and each pair of blocks is read in place; only the nearest of a block leave it. A row so
+travels once, not once for each tree, and a task holds one block of ``block`` rows and one of ``asked`` queries (fewer of long vectors).
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components
 take no part. Ties go to the smaller id. Fewer candidates than asked for: all of them. An empty table
@@ -16,11 +17,9 @@ these the nearest counts. Other columns are not looked at.
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -86,8 +85,70 @@ def usable(vector: Column, dims: int) -> Column:
     return F.coalesce((F.size(vector) == dims) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+#: Numbers in a packed block, and of distances worked out at once.
+BLOCK_CELLS, EXACT_CELLS = 1 << 19, 1 << 21
+
+
+def _packed(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows as Arrow streams of at most so many rows each."""
+    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema) as out:
+            for batch in held:
+                out.write_batch(batch)
+        return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["payload"])
+
+    held: list[pa.RecordBatch] = []
+    many = 0
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            part = batch.slice(start, rows)
+            if many + part.num_rows > rows:
+                yield block(held)
+                held, many = [], 0
+            held.append(part)
+            many += part.num_rows
+    if held:
+        yield block(held)
+
+
+def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().reshape(rows, -1)
+
+
+def _ranked(asked: pa.Table, own: pa.Table, leaves: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, row id, distance): the ``k`` nearest ids of a block that each query reaches, by exact distance."""
+    q, v = _matrix(asked["q"], len(asked)), _matrix(own["v"], len(own))
+    q_ids, ids, at = asked["query_id"].to_numpy(), own["vec_id"].to_numpy(), _matrix(own["leaves"], len(own))
+    reached = np.zeros((len(q), len(v)), bool)
+    taken = np.zeros((len(q), at.shape[1], leaves), bool)
+    lists = asked["taken"].combine_chunks()
+    taken.reshape(len(q), -1)[np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()] = True
+    for tree in range(at.shape[1]):
+        reached |= taken[:, tree][:, at[:, tree]]
+    reached &= q_ids[:, None] != ids
+    with np.errstate(over="ignore", invalid="ignore"):
+        far = (q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1) - 2 * (q @ v.T)
+        if np.isfinite(far).all():
+            slack = 1e-9 * ((q * q).sum(axis=1) + (v * v).sum(axis=1).max())
+        else:  # squares beyond the range of doubles
+            far, slack = np.stack([((v - x) ** 2).sum(axis=1) for x in q]), np.zeros(len(q))
+        far[~reached] = np.inf
+        # Rows of one id count once: as many more are looked at as ids are repeated.
+        last = min(len(v), k + len(v) - len(np.unique(ids))) - 1
+        i, j = np.nonzero(reached & (far <= (np.partition(far, last, axis=1)[:, last] + slack)[:, None]))
+        step = max(1, EXACT_CELLS // v.shape[1])
+        d = np.concatenate([np.zeros(0), *[np.sqrt(((v[j[n:n + step]] - q[i[n:n + step]]) ** 2).sum(axis=1)) for n in range(0, len(i), step)]])
+    order = np.lexsort((d, ids[j], i))
+    order = order[np.r_[True, (i[order][1:] != i[order][:-1]) | (ids[j][order][1:] != ids[j][order][:-1])][:len(order)]]
+    order = order[np.lexsort((ids[j][order], d[order], i[order]))]
+    first = np.searchsorted(i[order], i[order])
+    order = order[np.arange(len(order)) - first < k]
+    return q_ids[i[order]], ids[j[order]], d[order]
+
+
 def nearest(vectors: DataFrame, queries: Column, k: int = 10, trees: int = 16, leaf: int = 256, share: float = 0.6, at_least: int = 2048,
-            sample: int = 32_768, block: int = 4096, branch: int = 3, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+            sample: int = 32_768, block: int = 4096, asked: int = 256, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Per query (rows of ``vectors`` where ``queries`` holds) its ``k`` nearest others: query_id, rank, vec_id, score."""
     ship(vectors.sparkSession)
     schema = "query_id long, rank int, vec_id long, score double"
@@ -115,53 +176,33 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, trees: int = 16, l
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["vec_id", "v", "asks", "leaves"])
 
     indexed = written(spread_rows.mapInArrow(index, "vec_id long, v array<double>, asks boolean, leaves array<long>"), "forest")
-    members = indexed.select("vec_id", "v", F.posexplode("leaves").alias("tree", "leaf"))
     sizes = [np.zeros(2 ** depth, np.int64) for _ in forest]
-    for r in members.groupBy("tree", "leaf").count().collect():  # one row per leaf, as many as the trees have
+    for r in indexed.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").count().collect():  # one row per leaf, as many as the trees have
         sizes[r["tree"]][r["leaf"]] = r["count"]
     reach = min(1 - 1e-9, max(share, at_least / total))
 
-    shift = max(0, depth - branch)
-    heads = [x.reshape(-1, 2 ** shift).sum(axis=1) for x in sizes]
-    cuts = [np.maximum(1, -(-h // block)) for h in heads]  # parts of each branch
+    rows_in, asked_in = (max(1, min(n, BLOCK_CELLS // usual["d"])) for n in (block, asked))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for query, v in zip(batch.column(0).to_pylist(), batch.column(1)):
-                taken = defaultdict(list)
-                for tree, at in probe(v.values.to_numpy(), forest, sizes, reach):
-                    taken[tree, at >> shift].append(at)
-                out += [(query, v.values.to_numpy(), tree, head, c, sorted(own))
-                        for (tree, head), own in taken.items() for c in range(int(cuts[tree][head]))]
-            cols = list(zip(*out)) if out else [[]] * 6
-            kinds = (pa.int64(), pa.list_(pa.float64()), *[pa.int64()] * 3, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["query_id", "q", "tree", "head", "part", "leaves"])
-
-    probes = indexed.where("asks").select("vec_id", "v").mapInArrow(
-        search, "query_id long, q array<double>, tree long, head long, part long, leaves array<long>")
-    flat = F.array(*[F.array(*[F.lit(int(n)) for n in c]) for c in cuts])
-    dealt = members.select(F.col("tree").cast("long").alias("tree"), F.shiftright("leaf", shift).alias("head"), "leaf", "vec_id", "v") \
-        .withColumn("part", F.pmod(F.xxhash64("vec_id"), F.element_at(F.element_at(flat, F.col("tree").cast("int") + 1), F.col("head").cast("int") + 1)))
-
-    def rank(key, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        ids, at, score = [], [], []
-        if len(own) and len(asked):
-            own = own.sort_values("leaf")
-            v, members_of, leaf_of = np.stack(own["v"]), own["vec_id"].to_numpy(), own["leaf"].to_numpy()
-            for query, q, leaves in zip(asked["query_id"].to_numpy(), asked["q"], asked["leaves"]):
-                ends = zip(np.searchsorted(leaf_of, leaves), np.searchsorted(leaf_of, leaves, side="right"))
-                rows = np.concatenate([np.arange(a, b) for a, b in ends])
-                rows = rows[members_of[rows] != query]
-                d = np.sqrt(((v[rows] - q) ** 2).sum(axis=1))
-                best = np.lexsort((members_of[rows], d))[:k]
-                ids += [query] * len(best)
-                at += members_of[rows[best]].tolist()
-                score += d[best].tolist()
-        return pd.DataFrame({"query_id": np.array(ids, np.int64), "vec_id": np.array(at, np.int64), "score": np.array(score, float)})
-
-    by = ["tree", "head", "part"]
-    found = dealt.groupBy(*by).cogroup(probes.groupBy(*by)).applyInPandas(rank, "query_id long, vec_id long, score double")
+            for start in range(0, batch.num_rows, asked_in):
+                own = batch.slice(start, asked_in)
+                q = own.column(1).flatten().to_numpy().reshape(own.num_rows, -1)
+                taken = [np.array([tree << depth | at for tree, at in probe(x, forest, sizes, reach)], np.int32) for x in q]
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(taken, pa.list_(pa.int32()))], ["query_id", "q", "taken"])
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right in zip(batch.column(0), batch.column(1)):
+                found = _ranked(*(pa.ipc.open_stream(x.as_buffer()).read_all() for x in (left, right)), 1 << depth, k)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
+
+    asking = written(indexed.where("asks").select("vec_id", "v").mapInArrow(
+        lambda batches: _packed(search(batches), asked_in), "payload binary"), "asking", rows_per_file=1)
+    members = written(indexed.select("vec_id", "v", "leaves").mapInArrow(
+        lambda batches: _packed(batches, rows_in), "payload binary"), "members", rows_per_file=1)
+    met = asking.select(F.col("payload").alias("asked")).crossJoin(members.select(F.col("payload").alias("own")))
+    found = met.mapInArrow(rank, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = W.partitionBy("query_id").orderBy("score", "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,6 +256,38 @@ def test_forest(spark):
     assert forest.nearest(table.where("false"), F.lit(True)).count() == 0
 
 
+def test_forest_in_small_blocks(spark):
+    """All leaves taken, in blocks of few rows and queries: brute force, with ids that repeat and lengths beyond squares."""
+    rng = np.random.default_rng(2)
+    rows = [(k % 400, (rng.normal(size=4) * (1e200 if k % 40 == 7 else 1.0)).tolist()) for k in range(1200)] + [(900 + k, [1.0, 2.0, 3.0, 4.0]) for k in range(90)]
+    want = defaultdict(list)
+    with np.errstate(over="ignore"):
+        for q, x in rows:
+            if q % 100 == 0:
+                far = {}
+                for i, y in rows:
+                    if i != q:
+                        far[i] = min(far.get(i, np.inf), float(np.sqrt(((np.array(y) - np.array(x)) ** 2).sum())))
+                want[q].append(far)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = forest.nearest(table, F.col("vec_id") % 100 == 0, share=1.0, leaf=64, block=50, asked=3)
+    got = defaultdict(list)
+    for r in found.orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.score, r.vec_id))
+    for q, fars in want.items():
+        nearest = {i: min(far[i] for far in fars) for i in fars[0]}
+        assert got[q] == sorted((d, i) for i, d in nearest.items())[:10]
+    assert len(got) == len(want) == 5
+
+
+def test_packed_blocks_are_bounded():
+    """What a task holds at a time: blocks of at most so many rows, with every row in one."""
+    batches = [pa.record_batch({"a": list(range(n))}) for n in (0, 3, 25, 1, 10, 2)]
+    blocks = [pa.ipc.open_stream(b.column(0)[0].as_buffer()).read_all()["a"].to_pylist() for b in forest._packed(iter(batches), 10)]
+    assert max(map(len, blocks)) <= 10 and [x for b in blocks for x in b] == [x for b in batches for x in b["a"].to_pylist()]
+    assert list(forest._packed(iter([]), 10)) == []
+
+
 def test_quality(spark, docs, none):
     rows = [(i, f"plain words of text number {i} and so on" if i % 2 else f"SPAM!! {i} SPAM!! SPAM!!", None, 30) for i in range(400)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")

@@ -175,3 +175,37 @@ def test_shuffle_files_go_when_a_table_is_written(spark):
     before = tracker.shuffleStatuses().size()
     rows = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "sevenths")
     assert rows.count() == 7 and tracker.shuffleStatuses().size() <= before + 1
+
+
+@pytest.mark.parametrize("dims", [0, 12])
+def test_blocks_of_long_rows_are_sketched_once(monkeypatch, dims):
+    """Each row of a block is weighed once for its sketch, however many slices it meets, and again only where it is compared."""
+    left, right, q, b, idf, order = _sides(np.random.default_rng(9), dims=dims)
+    right = right.set_column(right.schema.get_field_index("cell"), "cell", pa.array(np.zeros(right.num_rows), pa.int32()))
+    left = left.set_column(left.schema.get_field_index("cells"), "cells", pa.array([[0]] * left.num_rows, pa.list_(pa.int32())))
+    monkeypatch.setattr(nearest, "SLICE", 20)
+    weighed = {}
+    for terms in (0, 10_000):  # long rows, short ones
+        monkeypatch.setattr(nearest, "LONG_TERMS", terms)
+        taken, found = [], _Found(np.full(left.num_rows, 0.98))
+        sides = _Rows(left, idf), _Rows(right, idf)
+        monkeypatch.setattr(_Rows, "take", lambda self, at, f=_Rows.__dict__["take"]: taken.append(len(at)) or f(self, at))
+        _search_cells(left, right, *sides, order, found)
+        monkeypatch.undo()
+        monkeypatch.setattr(nearest, "SLICE", 20)
+        _check(found, q @ b.T, order, 0.98)
+        weighed[terms] = sum(taken)
+    pairs = int(((q @ b.T) >= 0.98).sum())
+    assert weighed[0] < weighed[10_000] and weighed[0] <= left.num_rows + right.num_rows + 20 * (pairs + left.num_rows)
+
+
+def test_base_blocks_stay_while_there_is_room(spark, monkeypatch):
+    """The same pairs with room for all blocks of a task, for some and for none."""
+    queries, base, sims, idf = _text_rows(spark, np.random.default_rng(6), 200)
+    plan = BlockPlan(one_cell_rows=10, max_pivots=6, long_row_bytes=0, long_block_bytes=1_500, copied_bytes=0, index_share=0)
+    monkeypatch.setattr(nearest, "LONG_TERMS", 0)
+    want = [(f"k{100 + i:03}", int(s.argmax()), s.max()) for i, s in enumerate(np.round(sims, 6)) if s.max() >= 0.8]
+    for room in (8192, 20, 0):
+        monkeypatch.setattr(nearest, "HELD_ROWS", room)
+        got = nearest.nearest_neighbours(queries, base, 0.8, plan, idf).collect()
+        assert sorted((r["query_key"], r["ref"], r["similarity"]) for r in got) == want
